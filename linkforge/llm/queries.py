@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, quality, tokens, url_filter
+from . import exact_dedup, html_extract, jaccard, mixing, packing, quality, tokens, url_filter, warc
 from .common import read_table
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"))
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages"), read_table(spark, sf_dir, "labels"))
 
@@ -26,13 +30,27 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read_table(spark, sf_dir, "documents"))
 
 
+def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica with drilled damage against the records of all pages."""
+    kept = warc.records(read_table(spark, sf_dir, "pages"))
+    return warc.audit(warc.manifest(kept), warc.manifest(warc.rot(kept)))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in sorted(globals().items()) if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_ngram_jaccard_join": jaccard.ORACLE, "op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_warc_fixity": warc.ORACLE}
