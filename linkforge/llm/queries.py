@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_extract, jaccard, mixing, packing, quality, tokens, url_filter, warc
+from . import exact_dedup, html_extract, jaccard, mixing, packing, quality, suffix_dedup, tokens, url_filter, warc
 from .common import read_table
 
 
@@ -30,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read_table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(read_table(spark, sf_dir, "documents"))
+
+
 def op7_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica with drilled damage against the records of all pages."""
     kept = warc.records(read_table(spark, sf_dir, "pages"))
@@ -53,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": jaccard.ORACLE, "op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op7_warc_fixity": warc.ORACLE}
+    return {"op1_ngram_jaccard_join": jaccard.ORACLE, "op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_suffix_array_dedup": suffix_dedup.ORACLE, "op7_warc_fixity": warc.ORACLE}
