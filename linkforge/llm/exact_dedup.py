@@ -17,8 +17,13 @@ from .common import Stages, strip_white
 COLLIDED_ROWS_BROADCAST = 10_000
 
 
-def _hashed(docs: DataFrame, text: str, hash_of) -> DataFrame:
-    return docs.withColumn("_norm", strip_white(F.col(text))).withColumn("_h", hash_of(F.col("_norm")))
+def _hashed(docs: DataFrame, id_col: str, text: str, hash_of, whole: bool = False) -> DataFrame:
+    """``_id, _norm, _h, _len`` for each row, and the row itself as a struct ``_doc`` if ``whole``."""
+    body = F.col(text)
+    rows = docs.select(
+        F.col(id_col).alias("_id"), strip_white(body).alias("_norm"), F.length(F.coalesce(body, F.lit(""))).alias("_len"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("_doc")] if whole else []))
+    return rows.withColumn("_h", hash_of(F.col("_norm")))
 
 
 def md5_128(col):
@@ -28,8 +33,8 @@ def md5_128(col):
 def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hash_of=md5_128) -> DataFrame:
     """A row for each row of ``docs``: ``<id>, keep_id, group_size, kept, text_sha256``."""
     stages = Stages(docs.sparkSession)
-    rows = _keyed(docs, text, hash_of, stages).select(
-        F.col(id_col).alias("_id"), "_h", "_class", "_sha", "_len", F.monotonically_increasing_id().alias("_row"))
+    rows = _classed(docs, id_col, text, hash_of, stages).select(
+        "_id", "_h", "_class", "_len", F.unhex(F.sha2("_norm", 256)).alias("_sha"), F.monotonically_increasing_id().alias("_row"))
     rows = stages.put(rows)
     best = rows.groupBy("_h", "_class").agg(
         F.min(F.struct(-F.col("_len"), F.col("_id").isNull(), "_id", "_row")).alias("_best"),
@@ -40,54 +45,36 @@ def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hash_
         (F.col("_row") == F.col("_best._row")).alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
-def _keyed(docs: DataFrame, text: str, hash_of, stages: Stages) -> DataFrame:
-    """``docs`` with hash, class among texts of one hash, SHA-256 and length."""
-    bad = stages.put(_collisions(docs, text, hash_of))
-    n = bad.count()
-    keyed = _hashed(docs, text, hash_of)
-    if n:
-        side = F.broadcast(bad) if n <= COLLIDED_ROWS_BROADCAST else bad
-        keyed = keyed.join(side, ["_h", "_norm"], "left")
-    else:
-        stages.free(bad)
-        keyed = keyed.withColumn("_class", F.lit(0))
-    return keyed.withColumns({
-        "_class": F.coalesce("_class", F.lit(0)), "_sha": F.unhex(F.sha2("_norm", 256)),
-        "_len": F.length(F.coalesce(F.col(text), F.lit("")))})
-
-
-def _collisions(docs: DataFrame, text: str, hash_of) -> DataFrame:
-    """Texts whose hash another text has too: ``_h, _norm, _class``.
-
-    The aggregate by (hash, text) compares whole texts byte by byte. Copies meet in its map-side half, so
-    the largest group reaches the shuffle as one row a task. Only texts of collided hashes are gathered.
-    """
-    texts = _hashed(docs, text, hash_of).groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("_n"))
-    many = texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_h")
-    stages = Stages(docs.sparkSession)
-    many = stages.put(many)
+def _classed(docs: DataFrame, id_col: str, text: str, hash_of, stages: Stages, whole: bool = False) -> DataFrame:
+    """The hashed rows with ``_class``, which tells different texts of one hash apart."""
+    rows = _hashed(docs, id_col, text, hash_of, whole)
+    texts = rows.groupBy("_h", "_norm").agg(F.count(F.lit(1)).alias("_n"))
+    # The aggregate by (hash, text) compares whole texts byte by byte. Copies meet in its map-side half, so
+    # the largest group reaches the shuffle as one row a task. Texts are gathered for collided hashes only.
+    many = stages.put(texts.groupBy("_h").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_h"))
     if many.isEmpty():
         stages.free(many)
-        return docs.sparkSession.createDataFrame([], "_h binary, _norm string, _class int")
+        return rows.withColumn("_class", F.lit(0))
     found = texts.join(many, "_h", "left_semi").groupBy("_h").agg(F.array_sort(F.collect_set("_norm")).alias("_all"))
-    return found.select("_h", F.posexplode("_all").alias("_class", "_norm")).select("_h", "_norm", "_class")
+    found = stages.put(found.select("_h", F.posexplode("_all").alias("_class", "_norm")))
+    side = F.broadcast(found) if found.count() <= COLLIDED_ROWS_BROADCAST else found
+    return rows.join(side, ["_h", "_norm"], "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
 
 
 def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hash_of=md5_128) -> DataFrame:
     """The rows of ``docs`` that stay, with their own columns."""
     stages = Stages(docs.sparkSession)
-    keyed = _keyed(docs, text, hash_of, stages)
-    light = keyed.select("_h", "_class", "_len", F.col(id_col).alias("_id"))
-    best = light.groupBy("_h", "_class", "_len", "_id").agg(F.count(F.lit(1)).alias("_same")).groupBy("_h", "_class").agg(
+    rows = _classed(docs, id_col, text, hash_of, stages, whole=True)
+    best = rows.groupBy("_h", "_class", "_len", "_id").agg(F.count(F.lit(1)).alias("_same")).groupBy("_h", "_class").agg(
         F.min(F.struct(-F.col("_len"), F.col("_id").isNull(), "_id", "_same")).alias("_b"))
     best = stages.put(best.select(
         F.col("_h").alias("_bh"), F.col("_class").alias("_bc"), (-F.col("_b.col1")).alias("_bl"),
         F.col("_b._id").alias("_bid"), F.col("_b._same").alias("_same")))
     # the id takes part in the key, so a large group of copies is dealt evenly
-    kept = keyed.join(best, (F.col("_h") == F.col("_bh")) & (F.col("_class") == F.col("_bc"))
-                      & (F.col("_len") == F.col("_bl")) & F.col(id_col).eqNullSafe(F.col("_bid")))
-    once = kept.where("_same = 1").select(*docs.columns)
-    again = kept.where("_same > 1").dropDuplicates(["_h", "_class"]).select(*docs.columns)
+    kept = rows.join(best, (F.col("_h") == F.col("_bh")) & (F.col("_class") == F.col("_bc"))
+                     & (F.col("_len") == F.col("_bl")) & F.col("_id").eqNullSafe(F.col("_bid")))
+    once = kept.where("_same = 1").select("_doc.*")
+    again = kept.where("_same > 1").dropDuplicates(["_h", "_class"]).select("_doc.*")
     return once.unionByName(again)
 
 

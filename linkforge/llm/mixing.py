@@ -59,30 +59,29 @@ def poisson(u, mean):
     return done["n"]
 
 
-def with_copies(docs: DataFrame, rate_table: DataFrame, seed: str = SEED, id_col: str = "doc_id", source: str = "source") -> DataFrame:
-    """``docs`` with ``_rate`` and ``_copies``."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    side = rate_table.select(F.col(source).alias("_s"), F.col("rate").alias("_rate"))
-    joined = docs.join(side, F.col(source).eqNullSafe(F.col("_s")), "left").drop("_s")
-    parts = F.greatest(F.ceil(F.col("_rate") / PART), F.lit(1)).cast("int")
-    mean = F.col("_rate") / parts
-    each = F.transform(F.sequence(F.lit(1), parts), lambda k: poisson(uniform(seed, key, k.cast("string")), mean))
-    return joined.withColumn("_copies", F.aggregate(each, F.lit(0), lambda a, b: a + b))
+def copies(rate, key, seed: str = SEED):
+    """Number of copies for a mean rate; rates over PART are sums of independent parts."""
+    parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
+    each = F.transform(F.sequence(F.lit(1), parts), lambda k: poisson(uniform(seed, key, k.cast("string")), rate / parts))
+    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED,
         id_col: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """``docs`` with each row repeated by its count, in global hash order; adds ``copy, n_copies, shuffle_key``.
+    """``docs`` with each row repeated by its count, in global hash order; adds ``copy, n_copies, shuffle_key``
+    (in the place of columns of these names).
 
     The rates have a row for each source; Spark broadcasts them only under its own size threshold and
     otherwise joins by shuffle.
     """
-    rate_table = rates(docs, WEIGHTS if weights is None else weights, epochs, source, text)
-    counted = with_copies(docs, rate_table, seed, id_col, source)
-    many = counted.where("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("copy").cast("string")))
-    many = many.withColumns({"shuffle_key": key, "n_copies": F.col("_copies")}).drop("_copies", "_rate")
-    return many.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+    side = rates(docs, WEIGHTS if weights is None else weights, epochs, source, text).select(F.col(source).alias("_s"), F.col("rate").alias("_rate"))
+    rows = docs.drop("copy", "n_copies", "shuffle_key")
+    key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+    rows = rows.select(key.alias("_key"), F.col(source).alias("_source"), F.struct(*[rows[c] for c in rows.columns]).alias("_doc"))
+    rows = rows.join(side, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_key", "_doc", copies(F.col("_rate"), F.col("_key"), seed).alias("n_copies"))
+    rows = rows.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
+    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "_key", F.col("copy").cast("string"))))
+    return rows.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").select("_doc.*", "copy", "n_copies", "shuffle_key")
 
 
 ORACLE = """

@@ -5,7 +5,7 @@ between single words) and boilerplate (notices; one word repeated). A document i
 base rules and at most MAX_LOST percent of its words stood in failing lines.
 
 A null text counts as empty: no words, base_failed. Texts are read whole. Repeated rows are judged alike,
-extra columns pass through, an empty table gives an empty result.
+extra columns pass through (those named like a result are replaced), an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -104,8 +104,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     One pass over Arrow batches; a row never leaves its task.
     """
     names = [*FIELDS, "clean_text", "base_failed", "kept"]
-    if clash := set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(clash)} are in the input already; rename them")
+    docs = docs.drop(*[n for n in names if n != text])
     position = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
