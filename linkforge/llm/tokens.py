@@ -60,14 +60,10 @@ class PieceCounter:
         hidden = [b for b in range(256) if b not in shown]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def pieces(self, word: str) -> int:
-        """Pieces of one pre-token, asked of the merge table alone.
-
-        Beyond the basic plane the library's Unicode tables may be older than ours, so there the whole
-        tokenizer counts, which splits again by its own tables."""
-        if max(word) > "\uffff":
-            return len(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
+    def pieces(self, word: str, mapped: str | None = None) -> int:
+        """Pieces of one pre-token, asked of the merge table alone; ``mapped`` is its ByteLevel form."""
+        if mapped is None:
+            mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.alphabet)
         n = len(self.tokenizer.model.tokenize(mapped))
         if len(word) <= LONG:
             if len(self.memo) >= MEMO:
@@ -75,6 +71,11 @@ class PieceCounter:
             self.memo[word] = n
         return n
 
+    def split_beyond(self, part: str) -> list[str]:
+        """Pre-tokens of a text with characters beyond the basic plane, where the library's Unicode tables may
+        differ from ours, split by the library; marked by a line feed, which no other pre-token has."""
+        return ["\n" + w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normalize(part))]
+
     def count(self, text: str) -> int:
         total, known = 0, self.memo.get
         parts = [text]
@@ -86,11 +87,15 @@ class PieceCounter:
                 continue
             if self.plain and not ODD.search(part):
                 found = PLAIN.findall(part.lower())
+            elif max(part) > "\uffff":
+                found = self.split_beyond(part)
             else:
                 found = self.words.findall(self.normalize(part))
             for word, times in Counter(found).items():
                 n = known(word)
-                total += times * (self.pieces(word) if n is None else n)
+                if n is None:
+                    n = self.pieces(word, word[1:] if word[0] == "\n" else None)
+                total += times * n
         return total
 
 
