@@ -187,6 +187,25 @@ def link_group(rows: list[dict], words: int, percent: int) -> list[tuple]:
     return [(uid, min(u for u, _ in c)) for c in clusters for uid, _ in c]
 
 
+def qualified(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``q, g`` that share enough prefix shingles, from a row ``q, n, g, n0, n1`` for each shared one.
+
+    Two linked sets of sizes n and m have ``o >= percent * (n + m) / (100 + percent)`` shingles in common. Of
+    these at most ``needed(x) - 1`` can lie behind the prefix of that one of them, of size x, whose prefix
+    ends first; so at least ``o - needed(max(n, m)) + 1`` are in both prefixes. Over the sizes n0 to n1 in the
+    group this is least for the smallest or the largest member that fits the query in size.
+    """
+    n, n0, n1 = F.col("n"), F.col("n0"), F.col("n1")
+
+    def least(m):
+        both = F.ceil(percent * (n + m) / (100.0 + percent) - 1e-9)
+        return both - F.ceil(percent * F.greatest(n, m) / 100.0 - 1e-9) + 1
+
+    lo, hi = F.greatest(n0, F.ceil(percent * n / 100.0 - 1e-9)), F.least(n1, F.floor(100.0 * n / percent + 1e-9))
+    counted = pairs.groupBy("q", "g", "n", "n0", "n1").agg(F.count(F.lit(1)).alias("c")).where(lo <= hi)
+    return counted.where(F.col("c") >= F.least(least(lo), least(hi))).select("q", "g")
+
+
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between queries and groups: ``pairs`` (q, g), ``members`` (g, uid), ``sets`` (uid, text).
 
@@ -249,25 +268,29 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     leaders = stages.put(some.select("uid", "n").join(leaders, "uid", "left").select("uid", "n", F.coalesce("leader", "uid").alias("g")))
     texts = sets.select("uid", "text")
 
-    # the token-group matrix: groups against the smallest group that shares a shingle
+    # the token-group matrix; first, first members of groups against the smallest one that shares a shingle
     matrix = stages.put(post.join(leaders, "uid").select("token", "uid", "n", "g"))
     stages.free(post)
-    low = matrix.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi")
-    star = matrix.select("token", "g").distinct().join(low, "token").where("g <> lo").select(F.col("g").alias("q"), F.col("lo").alias("g")).distinct()
-    star = stages.put(star)
+    heads = matrix.where("uid = g")
+    low = heads.groupBy("token").agg(F.min(F.struct("g", "n")).alias("lo"), F.max("g").alias("hi")).where("lo.g < hi").select(
+        "token", F.col("lo.g").alias("lo"), F.col("lo.n").alias("n0"))
+    star = heads.join(low, "token").where("g <> lo").select(F.col("g").alias("q"), "n", F.col("lo").alias("g"), "n0", F.col("n0").alias("n1"))
+    star = stages.put(qualified(star, percent))
+    sweep(spark)
     links = stages.put(open_groups(star, star.select("g", F.col("g").alias("uid")).distinct(), texts, words, percent))
     stages.free(star)
+    sweep(spark)
     comp = components(links, stages)
 
     # every set against every group of another component
     with_comp = matrix.join(comp, F.col("g") == F.col("node"), "left").select("token", "uid", "n", "g", F.coalesce("comp", "g").alias("comp"))
     two = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     with_comp = stages.put(with_comp.join(two, "token"))
-    groups = with_comp.groupBy("token", "g", "comp").agg(F.min("n").alias("n0"), F.max("n").alias("n1")).select(
-        "token", "g", F.col("comp").alias("gc"), "n0", "n1")
-    pairs = with_comp.drop("g").join(groups, "token").where(
-        (F.col("comp") < F.col("gc")) & (100 * F.col("n1") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("n0")))
-    pairs = stages.put(pairs.select(F.col("uid").alias("q"), "g").distinct())
+    sizes = leaders.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
+    groups = with_comp.select("token", "g", F.col("comp").alias("gc")).distinct().join(sizes, "g")
+    pairs = with_comp.drop("g").join(groups, "token").where(F.col("comp") < F.col("gc")).select(F.col("uid").alias("q"), "n", "g", "n0", "n1")
+    pairs = stages.put(qualified(pairs, percent))
+    sweep(spark)
     found = open_groups(pairs, leaders.select("g", "uid").join(pairs.select("g").distinct(), "g", "left_semi"), texts, words, percent)
     found = found.join(leaders.select(F.col("uid").alias("a"), F.col("g").alias("ga")), "a").select(F.col("ga").alias("a"), "b")
     last = components(stages.put(links.union(found)), stages)
