@@ -210,7 +210,7 @@ def build_columns(starts: np.ndarray, raws: list[bytes], folder: str | None = No
                 if not len(place):
                     order, lcp = order[:0], lcp[:0]
                     continue
-                ahead = np.minimum.reduceat(lcp, np.concatenate([[0], place[:-1] + 1]))
+                ahead = np.minimum.reduceat(lcp[: place[-1] + 1], np.concatenate([[0], place[:-1] + 1]))
                 order, lcp = order[place], ahead
                 lcp[0] = 0
             symbol = columns[WIDTH - 1 - c][order]
