@@ -111,7 +111,7 @@ BLOCK = f"""{PREP}, wdocs AS ({_docs_sql(_word_sql('core', 'addr'))}), cdocs AS
 wr AS (SELECT *, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t) AS r FROM ws), cr AS (SELECT *, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t) AS r FROM cs),
 cand AS (SELECT split_part(part, '|', 1) AS country, split_part(part, '|', 2) AS src, q, t, coalesce(wr.score, 0) AS w, coalesce(cr.score, 0) AS c
    FROM wr FULL JOIN cr USING (part, q, t) WHERE (wr.r <= {K_WORD} AND wr.score > 0.05) OR (cr.r <= {K_CHAR} AND cr.score > 0.2)),
-p1 AS (SELECT *, round((w + c) / 2, 6) AS p1 FROM cand)"""
+p1 AS (SELECT *, greatest(w, c) AS p1 FROM cand)"""
 
 
 def _block(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -121,7 +121,7 @@ def _block(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def _p1(spark, sf_dir) -> DataFrame:
     """Candidates with a stand-in for the first-stage probability."""
-    return _block(spark, sf_dir)[0].withColumn("p1", F.round((F.col("w") + F.col("c")) / 2, 6))
+    return _block(spark, sf_dir)[0].withColumn("p1", F.greatest("w", "c"))
 
 
 # --- sources, predicates, sampling ------------------------------------------------------------------------
