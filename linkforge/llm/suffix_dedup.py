@@ -300,16 +300,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stages:
     stages = stages or Stages(spark)
     rows = _keyed(docs, id_col, text)
     found = stages.put(find_anchors(rows.select("k1", "k2", "text")))
-    # one occurrence stands for all equal ones; its place is one number, as these rows are the most
-    place = F.col("lo") * 65536 + F.col("w") * 256 + F.col("d")
-    first = found.select("a", "x", "k1", "k2", place.alias("p")).groupBy("a", "x").agg(
+    # a place is one number, as these rows are the most; one occurrence stands for all equal ones
+    place = (F.col("lo") * 65536 + F.col("w") * 256 + F.col("d")).alias("p")
+    lo, w, d = F.shiftright("p", 16).alias("lo"), F.shiftright("p", 8).bitwiseAND(F.lit(255)).alias("w"), F.col("p").bitwiseAND(F.lit(255)).alias("d")
+    first = found.select("a", "x", "k1", "k2", place).groupBy("a", "x").agg(
         F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "p")])
     per = first.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("m")).where("k > 1 or m > 1").select("a", "k")
     first = stages.put(first.join(per, "a").where("k > 1 or n > 1"))
     sweep(spark)
 
-    byte = [F.shiftright("p", 16).alias("lo"), F.shiftright("p", 8).bitwiseAND(F.lit(255)).alias("w"), F.col("p").bitwiseAND(F.lit(255)).alias("d")]
-    wanted = first.where("k > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "x", *byte, (F.col("k") > HOT).alias("hot"))).alias("found"))
+    wanted = first.where("k > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "x", lo, w, d, (F.col("k") > HOT).alias("hot"))).alias("found"))
     stretches = stages.put(cut_stretches(rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "found")))
     sweep(spark)
     part = repeated(stretches).select("a", "x", "c0", "c1")
@@ -321,7 +321,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stages:
     sweep(spark)
 
     # back to every occurrence
-    lists = found.join(flagged, ["a", "x"]).select("k1", "k2", "lo", "w", "d", F.explode("ranges").alias("r"))
+    lists = found.select("a", "x", "k1", "k2", place).join(flagged, ["a", "x"]).select("k1", "k2", lo, w, d, F.explode("ranges").alias("r"))
     c = F.lit(STARTS - 1) - F.col("d")
     u, v = F.greatest(F.col("r.c0"), c), F.least(F.col("r.c1"), c + F.col("w") - 1)
     lists = lists.where(u <= v).select("k1", "k2", (F.col("lo") + u - c).alias("lo"), (F.col("lo") + v - c + SPAN).alias("hi"))
