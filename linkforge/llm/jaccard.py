@@ -39,9 +39,9 @@ from .groups import by_group, components
 
 WORDS, PERCENT = 5, 80
 GROUP = 256
-FREQUENT_SHARE, FREQUENT_MOST = 2000, 1 << 20
-"""A shingle in more than 1/FREQUENT_SHARE of the documents counts as frequent and is ordered last. At most
-FREQUENT_MOST shingles (8 MB) can be frequent: the threshold is never below total / FREQUENT_MOST."""
+FREQUENT_LEAST, FREQUENT_MOST = 8, 1 << 20
+"""Shingles seen FREQUENT_LEAST times count as frequent and are ordered last, rarer ones first. The table goes
+to every task, so it holds FREQUENT_MOST shingles (16 MB) at most: beyond, the threshold rises."""
 CHUNK = 4_000_000
 MEMO = 1_000_000
 
@@ -103,37 +103,40 @@ def common(a: np.ndarray, b: np.ndarray) -> int:
 def frequent(docs: DataFrame, stages: Stages, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles (sorted) and their counts.
 
-    A task emits a shingle if it is frequent in one of its chunks; a shingle frequent in the whole is so in
-    some chunk. Sums of what was emitted are lower bounds, which suffices for an order.
+    A task emits the shingles that meet twice in one of its chunks, with their counts there; sums over all
+    chunks are lower bounds, which suffices for an order. Equal neighbours in a chunk count once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = rows = 0
+        held: dict[tuple, np.ndarray] = {}
+        size = 0
 
         def flush():
-            token, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, int))
-            often = n >= max(3, rows / FREQUENT_SHARE)
-            return pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([np.zeros(2), np.ones(often.sum())]).astype(np.int32)),
-                pa.array(np.concatenate([np.array([0, 1], np.int64), token[often].view(np.int64)])),
-                pa.array(np.concatenate([np.array([rows, size]), n[often]]).astype(np.int64))], names=["kind", "token", "n"])
+            token, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
+            often = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, words)
-                held.append(s)
-                size += len(s)
-                rows += 1
+                if len(s):
+                    held[len(s), int(s[0]), int(s[len(s) // 2]), int(s[-1])] = s
+                    size += len(s)
                 if size >= CHUNK:
                     yield flush()
-                    held, size, rows = [], 0, 0
-        yield flush()
-
-    counts = stages.put(docs.select("_text").mapInArrow(run, "kind int, token long, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
-    total = {r.token: r.n for r in counts.where("kind = 0").collect()}
-    least = max(8, total.get(0, 0) / FREQUENT_SHARE, total.get(1, 0) / FREQUENT_MOST)
-    rows = counts.where((F.col("kind") == 1) & (F.col("n") >= least)).select("token", "n").toArrow()
+                    held, size = {}, 0
+        if held:
+            yield flush()
+
+    counts = docs.select("_text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counts = stages.put(counts.where(F.col("n") >= FREQUENT_LEAST))
+    least, room = FREQUENT_LEAST, FREQUENT_MOST
+    for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        room -= r.k
+        if room < 0:
+            least = r.n + 1
+            break
+    rows = counts.where(F.col("n") >= least).toArrow()
     stages.free(counts)
     token, n = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(token)
@@ -214,7 +217,7 @@ def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, words: in
     chunks = pairs.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"))
     left = pairs.join(chunks, "g").select("g", F.pmod(F.xxhash64("q"), F.col("k")).cast("int").alias("c"), F.lit(1).alias("role"), F.col("q").alias("uid"))
     right = members.join(chunks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("c"), F.lit(0).alias("role"), "uid")
-    rows = left.union(right).join(sets, "uid")
+    rows = left.union(right).hint("merge").join(sets, "uid")
 
     def fn(rows: list[dict]) -> list[tuple]:
         inside = {r["uid"]: r["text"] for r in rows if r["role"] == 0}
@@ -246,11 +249,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         F.min("_row").alias("uid"), F.min("_id").alias("least")))
 
     # prefix shingles that two different sets share
-    one = stages.put(every.join(nodes.select("uid"), F.col("_row") == F.col("uid"), "left_semi").select(
+    one = stages.put(every.join(nodes.select("uid").hint("merge"), F.col("_row") == F.col("uid"), "left_semi").select(
         F.col("_row").alias("uid"), "_id", "_key", "n", "mh", "prefix"))
     post = one.select("uid", F.explode("prefix").alias("token"))
     sharing = post.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
-    post = stages.put(post.join(sharing, "token").select("token", "uid"))
+    post = stages.put(post.join(sharing.hint("merge"), "token").select("token", "uid"))
     sweep(spark)
 
     # groups of similar sets, and the texts of all sets that can have a link
@@ -260,7 +263,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     sizes = some.groupBy("mh").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("k"), F.count(F.lit(1)).alias("m")).where("m > 1")
     dealt = some.join(sizes, "mh", "left").withColumn("c", F.when(F.col("k").isNotNull(), F.pmod(F.xxhash64("uid"), F.col("k")).cast("int")))
     dealt = dealt.select("uid", F.col("_id").alias("i2"), F.col("_key").alias("k2"), "n", "mh", "c")
-    sets = rows.join(dealt, (F.col("_key") == F.col("k2")) & F.col("_id").eqNullSafe(F.col("i2"))).select(
+    sets = rows.join(dealt.hint("merge"), (F.col("_key") == F.col("k2")) & F.col("_id").eqNullSafe(F.col("i2"))).select(
         "uid", "mh", "c", F.col("_text").alias("text"))
     sets = stages.put(sets)
     sweep(spark)
@@ -284,11 +287,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
 
     # every set against every group of another component
     with_comp = matrix.join(comp, F.col("g") == F.col("node"), "left").select("token", "uid", "n", "g", F.coalesce("comp", "g").alias("comp"))
+    weight = leaders.join(comp, F.col("g") == F.col("node"), "left").groupBy(F.coalesce("comp", "g").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
+    with_comp = with_comp.join(weight, "comp")
     two = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     with_comp = stages.put(with_comp.join(two, "token"))
     sizes = leaders.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
-    groups = with_comp.select("token", "g", F.col("comp").alias("gc")).distinct().join(sizes, "g")
-    pairs = with_comp.drop("g").join(groups, "token").where(F.col("comp") < F.col("gc")).select(F.col("uid").alias("q"), "n", "g", "n0", "n1")
+    groups = with_comp.select("token", "g", F.col("comp").alias("gc"), F.col("size").alias("gsize")).distinct().join(sizes, "g")
+    # the sets of the smaller component query the groups of the larger one
+    pairs = with_comp.drop("g").join(groups, "token").where(F.struct("size", "comp") < F.struct("gsize", "gc")).select(F.col("uid").alias("q"), "n", "g", "n0", "n1")
     pairs = stages.put(qualified(pairs, percent))
     sweep(spark)
     found = open_groups(pairs, leaders.select("g", "uid").join(pairs.select("g").distinct(), "g", "left_semi"), texts, words, percent)
