@@ -195,8 +195,10 @@ def qualified(pairs: DataFrame, percent: int) -> DataFrame:
 
     Two linked sets of sizes n and m have ``o >= percent * (n + m) / (100 + percent)`` shingles in common. Of
     these at most ``needed(x) - 1`` can lie behind the prefix of that one of them, of size x, whose prefix
-    ends first; so at least ``o - needed(max(n, m)) + 1`` are in both prefixes. Over the sizes n0 to n1 in the
-    group this is least for the smallest or the largest member that fits the query in size.
+    ends first; so at least ``o - needed(max(n, m)) + 1`` are in both prefixes. Among sizes m <= n this is least
+    for the smallest. Among m > n its rounded terms jump up and down, so there it is bounded from below without
+    rounding: ``(100 * percent * n - percent ** 2 * m + 100 + percent) / (100 * (100 + percent))`` falls with m,
+    so its value at the largest size holds for all.
     """
     n, n0, n1 = F.col("n"), F.col("n0"), F.col("n1")
 
@@ -205,8 +207,10 @@ def qualified(pairs: DataFrame, percent: int) -> DataFrame:
         return both - F.ceil(percent * F.greatest(n, m) / 100.0 - 1e-9) + 1
 
     lo, hi = F.greatest(n0, F.ceil(percent * n / 100.0 - 1e-9)), F.least(n1, F.floor(100.0 * n / percent + 1e-9))
+    above = F.ceil((100 * percent * n - percent ** 2 * hi + 100 + percent) / (100.0 * (100 + percent)) - 1e-9)
+    fewest = F.when((hi <= n) | (lo == hi), least(lo)).otherwise(F.least(least(lo), above))
     counted = pairs.groupBy("q", "g", "n", "n0", "n1").agg(F.count(F.lit(1)).alias("c")).where(lo <= hi)
-    return counted.where(F.col("c") >= F.least(least(lo), least(hi))).select("q", "g")
+    return counted.where(F.col("c") >= fewest).select("q", "g")
 
 
 def open_groups(pairs: DataFrame, members: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:

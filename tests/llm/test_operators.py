@@ -77,6 +77,38 @@ def test_jaccard_against_brute_force(docs):
     assert got == want
 
 
+def test_jaccard_bound_in_groups_of_mixed_sizes(spark):
+    """qualified() keeps every pair that shares as few prefix shingles as some size in the group needs."""
+    def least(n, m):
+        return -(-80 * (n + m) // 180) - jaccard.needed(max(n, m)) + 1
+
+    cases = []
+    for n in range(1, 45):
+        for n0 in range(jaccard.needed(n), n * 5 // 4 + 1):
+            for n1 in range(n0, n * 5 // 4 + 1):
+                cases.append((len(cases), 0, n, n0, n1, max(1, min(least(n, m) for m in range(n0, n1 + 1)))))
+    rows = spark.createDataFrame(cases, "q long, g long, n long, n0 long, n1 long, k int")
+    kept = jaccard.qualified(rows.withColumn("i", F.explode(F.sequence(F.lit(1), "k"))), 80)
+    assert {r.q for r in kept.collect()} == {c[0] for c in cases}
+
+
+def test_jaccard_link_to_middle_of_group(spark):
+    """A links only with the middle one of a group of 18, 19 and 20 shingles, by one shared prefix shingle."""
+    for seed in range(1000):
+        r = random.Random(seed)
+        p, b = [f"p{r.random()}" for _ in range(20)], [f"b{r.random()}" for _ in range(4)]
+        group = [" ".join(x) for x in (p[1:] + b[:3], p + b[:3], p + b)]
+        if len({int(jaccard.shingle_set(t)[0]) for t in group}) == 1 and jaccard.shingle_set(group[0])[0] in jaccard.shingle_set(" ".join(p)):
+            break
+    a = " ".join(["a", *p])
+    assert [jaccard.linked(jaccard.shingle_set(a), jaccard.shingle_set(t)) for t in group] == [False, True, False]
+    long = [" ".join([f"x{r.random()}" for _ in range(200)] + p) for _ in range(40)]
+    long.append(" ".join([f"x{r.random()}" for _ in range(200)] + p[:5]))  # all shingles of p are equally frequent
+    rows = [(1, a, "s"), *((2 + i, t, "s") for i, t in enumerate(group)), *((10 + i, t, "s") for i, t in enumerate(long))]
+    got = {r.doc_id: r.component_id for r in jaccard.join(table(spark, rows)).collect()}
+    assert [got[i] for i in range(1, 5)] == [1] * 4 and all(got[10 + i] == 10 + i for i in range(41))
+
+
 def test_exact_dedup(docs):
     rows = raw(docs)
     norm = lambda t: "".join(t.split(" ")).replace("\n", "")
