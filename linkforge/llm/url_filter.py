@@ -5,6 +5,11 @@ url's path, decides. For all other urls the method decides: FP-growth mines comb
 go with bad labels; rules pruned by support, confidence and lift are matched through an inverted index
 that lists each rule under its rarest token. Only DataFrame functions and ``pyspark.ml`` are used.
 
+Mining sees all distinct tokens of a url. Two steps bound the itemsets and lose no rule: tokens on fewer bad
+urls than the support asks for are in no rule and left out, and tokens that stand on the same urls have the
+same support, confidence and lift in every itemset, so they are mined as one item. A rule is a list of such
+groups and matches a url that has a token of each.
+
 A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed. Repeated rows
 and repeated page ids are judged row by row. Extra columns are ignored. Without labels (or without pages)
 no rule is mined and every url that fits no explicit rule is allowed.
@@ -12,6 +17,8 @@ no rule is mined and every url that fits no explicit rule is allowed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +31,6 @@ RULES = [
 ]
 MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.6, 1.5
 """A rule holds for MIN_SUPPORT of the labelled urls and MIN_ROWS of them at least."""
-TRAIN_TOKENS = 12
-"""Training transactions keep their first 12 distinct tokens, which bounds itemsets; matching uses all."""
 BROADCAST_RULES = 10_000
 BAD = "label=bad"
 
@@ -57,41 +62,58 @@ def tokens(host, url):
 
 def mine(pages: DataFrame, labels: DataFrame, min_support=MIN_SUPPORT, min_rows=MIN_ROWS,
          min_confidence=MIN_CONFIDENCE, min_lift=MIN_LIFT, page_id="page_id", url="url") -> DataFrame:
-    """Rules ``tokens, confidence, lift`` from urls whose page has a label (quality 0 or toxic 1 is bad)."""
+    """Rules ``tokens, confidence, lift`` from urls whose page has a label (quality 0 or toxic 1 is bad).
+
+    ``tokens`` is a list of groups; a url needs a token of each group.
+    """
+    spark = pages.sparkSession
+    stages = Stages(spark)
     bad = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = pages.select(F.col(page_id).alias("doc_id"), F.col(url).alias("_u")).join(bad, "doc_id")
     host, _ = split_url(F.col("_u"))
-    items = F.slice(tokens(host, F.col("_u")), 1, TRAIN_TOKENS)
-    rows = Stages(pages.sparkSession).put(known.select(
-        F.when(F.col("bad") == 1, F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")).where("size(items) > 0"))
+    rows = stages.put(known.select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col("bad") == 1, F.lit(False)).alias("bad"),
+        tokens(host, F.col("_u")).alias("items")).where("bad or size(items) > 0"))
     n = rows.count()
-    empty = pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double, lift double")
+    empty = spark.createDataFrame([], "tokens array<array<string>>, confidence double, lift double")
     if not n:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(rows)
-    return model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift)).select(
-        F.col("antecedent").alias("tokens"), "confidence", "lift")
+    support = min(1.0, max(min_support, min_rows / n))
+    # each token's rows as their number and two sums of hashes; equal ones are one item
+    each = rows.select("row", "bad", F.explode("items").alias("token"))
+    sums = [F.sum(F.xxhash64("row", F.lit(i)).cast("decimal(20)")).alias(f"s{i}") for i in (1, 2)]
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bad").cast("long")).alias("bads"), *sums)
+    seen = seen.where(F.col("bads") >= math.ceil(support * n - 1e-9))
+    groups = stages.put(seen.groupBy("rows", "s1", "s2").agg(F.sort_array(F.collect_list("token")).alias("group")).select(
+        F.col("group")[0].alias("item"), "group"))
+    held = each.join(groups.select(F.col("item").alias("token")), "token").groupBy("row").agg(F.collect_list("token").alias("items"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    baskets = stages.put(rows.select("row", "bad").join(held, "row", "left").select(
+        F.when(F.col("bad"), F.concat(items, F.array(F.lit(BAD)))).otherwise(items).alias("items")))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
+    rules = model.associationRules.where((F.col("consequent") == F.array(F.lit(BAD))) & (F.col("lift") >= min_lift))
+    return rules.select("antecedent", "confidence", "lift", F.explode("antecedent").alias("item")).join(groups, "item").groupBy(
+        "antecedent", "confidence", "lift").agg(F.sort_array(F.collect_list("group")).alias("tokens")).select("tokens", "confidence", "lift")
 
 
 def index(rules: DataFrame) -> DataFrame:
-    """Inverted index: a row for each rule, listed under its token that fewest rules hold."""
-    uses = rules.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
-    each = rules.select("tokens", F.explode("tokens").alias("token")).join(uses, "token")
-    return each.groupBy("tokens").agg(F.min(F.struct("uses", "token")).alias("m")).select(F.col("m.token").alias("token"), F.col("tokens").alias("need"))
+    """Inverted index: each rule is listed under the tokens of its group that fewest rules hold."""
+    uses = rules.select(F.explode("tokens").alias("group")).groupBy("group").agg(F.count(F.lit(1)).alias("uses"))
+    each = rules.select("tokens", F.explode("tokens").alias("group")).join(uses, "group")
+    return each.groupBy("tokens").agg(F.min(F.struct("uses", "group")).alias("m")).select(F.explode("m.group").alias("token"), F.col("tokens").alias("need"))
 
 
 def blocked_urls(pages: DataFrame, rules: DataFrame, url="url") -> DataFrame:
     """Distinct urls that some mined rule matches."""
     u = F.col(url)
-    host, _ = split_url(u)
     urls = pages.where(u.isNotNull()).select(u.alias("_url")).distinct()
     host, _ = split_url(F.col("_url"))
     urls = urls.withColumn("_tokens", tokens(host, F.col("_url")))
     postings = Stages(pages.sparkSession).put(index(rules))
     side = F.broadcast(postings) if postings.count() <= BROADCAST_RULES else postings
     hits = urls.select("_url", "_tokens", F.explode("_tokens").alias("token")).join(side, "token")
-    return hits.where(F.size(F.array_except("need", "_tokens")) == 0).select("_url").distinct()
+    return hits.where(F.forall("need", lambda g: F.arrays_overlap(g, F.col("_tokens")))).select("_url").distinct()
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, page_id="page_id", url="url", **mining) -> DataFrame:

@@ -231,6 +231,15 @@ def test_url_mining(spark):
     assert {i for i, v in got.items() if v == "block"} == {i for i in range(400) if i % 4 == 0}
 
 
+def test_url_mining_sees_late_tokens(spark):
+    """The bad token is the 31st of its url; the 30 before it stand on all urls, which as single items would make 2 ** 30 itemsets."""
+    path = "/".join(f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xy'[i // 26]}" for i in range(27))
+    rows = [(i, f"https://a.example.org/{path}/{'spam' if i % 4 == 0 else 'news'}{'/win' if i % 2 else ''}", "") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages_of(spark, rows), labels).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {i for i in range(400) if i % 4 == 0}
+
+
 def test_html_template(spark):
     rows = [(i, f"http://h.example.org/{i}", f"<div class=x><p>Subscribe for more</p><p>Story {i} of the day</p></div>") for i in range(20)]
     rows += [(50 + i, "http://copy.example.org/", "<div><p>One and the same text</p></div>") for i in range(20)] + PAGES
