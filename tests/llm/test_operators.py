@@ -248,6 +248,13 @@ def test_html_template(spark):
     assert got[50][0] == "One and the same text"
 
 
+def test_html_blank_page_is_no_reference(spark):
+    rows = [(i, f"http://h.example.org/{i}", f"<div class=x><p>Subscribe for more</p><p>Story {i} of the day</p></div>") for i in range(60)]
+    pages = pages_of(spark, rows).where(F.xxhash64("html") > F.xxhash64(F.lit("")))  # the blank page has the smallest hash
+    got = html_extract.extract(pages.union(pages_of(spark, [(99, "http://h.example.org/", None)]))).collect()
+    assert len(got) > 20 and all(r.text == ("" if r.page_id == 99 else f"Story {r.page_id} of the day") for r in got)
+
+
 def test_warc_audit(spark):
     rows = [(i, f"http://a/{i}", "<p>é" * (i % 90)) for i in range(1500)] + PAGES[1:2] + [(None, None, None)] * 2
     recs = warc.records(pages_of(spark, rows))
