@@ -1,8 +1,9 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-A document longer than a bin is cut into pieces of bin size and a rest; every token is packed. Pieces are
-dealt by hash into shards of about SHARD pieces, so shards are packed side by side and stay bounded. In a
-shard, pieces go from large to small. Open bins are ordered by residual space and carry two bitmaps: the
+Sizes are tokens of the public vocabulary of ``tokens``, counted in the pass that reads the texts. A document
+longer than a bin is cut into pieces of bin size and a rest; every token is packed. Pieces are dealt by a hash
+of id, text and piece into shards of about SHARD pieces, so shards are packed side by side, stay bounded and
+don't depend on how the input is partitioned; best fit is the best within a shard. In a shard, pieces go from large to small. Open bins are ordered by residual space and carry two bitmaps: the
 sources and the duplicate clusters that they hold. The search starts at the tightest bin that fits and goes
 on to the next larger residual until bin and piece have no source and no cluster in common; if none is
 left, a bin is opened.
@@ -14,13 +15,17 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stages, strip_white, word_count
+from .common import WHITE, Stages
 from .groups import by_group
+from .tokens import counter, vocabulary
 
 CAPACITY = 2048
 SHARD = 4096
@@ -67,25 +72,41 @@ def pack_group(rows: list[dict], capacity: int) -> list[tuple]:
             for r, (b, start) in zip(rows, placed, strict=True)]
 
 
+def sized(rows: DataFrame, path: str | None = None) -> DataFrame:
+    """``_id, _source, _size, _cluster`` for rows of id, source, size, cluster and text. A null size is counted
+    as tokens; a null cluster becomes the hash of the text without white space."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        white = WHITE.encode()
+        for batch in batches:
+            given, clusters = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            texts = [t or "" for t in batch.column(4).to_pylist()]
+            size = [counter(path or vocabulary()).count(t) if n is None else n for n, t in zip(given, texts, strict=True)]
+            clusters = [hashlib.md5(t.encode().translate(None, white)).hexdigest() if c is None else c for c, t in zip(clusters, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], pa.array(size, pa.int64()), pa.array(clusters, pa.string())], names=["_id", "_source", "_size", "_cluster"])
+
+    return rows.mapInArrow(run, "_id long, _source string, _size long, _cluster string")
+
+
 def pack(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", size=None, cluster=None,
-         capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
+         capacity: int = CAPACITY, shard: int = SHARD, path: str | None = None) -> DataFrame:
     """A row for each piece: ``bin_id, bin_start, <id>, piece, first_token, n_tokens, source, cluster``.
 
-    ``size`` is the column of lengths (words by default), ``cluster`` that of duplicate clusters (by default
-    the hash of the text without white space, so exact copies never share a bin).
+    ``size`` is a column of lengths (by default tokens, counted here), ``cluster`` that of duplicate clusters (by
+    default the hash of the text without white space, so exact copies never share a bin).
     """
     stages = Stages(docs.sparkSession)
-    size = word_count(F.col(text)) if size is None else size
-    cluster = F.md5(strip_white(F.col(text))) if cluster is None else cluster
-    docs = docs.select(
-        F.col(id_col).cast("long").alias("_id"), F.col(source).alias("_source"), size.alias("_size"), cluster.cast("string").alias("_cluster"),
-        F.monotonically_increasing_id().alias("_row")).where("_size > 0")
-    docs = stages.put(docs)
-    total = docs.agg(F.sum(F.ceil(F.col("_size") / capacity))).first()[0] or 0
-    pieces = docs.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_size") / capacity).cast("int") - 1)))
+    none = F.lit(None)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("_id"), F.col(source).cast("string").alias("_source"), (none if size is None else size).cast("long").alias("_size"),
+        (none if cluster is None else cluster).cast("string").alias("_cluster"), F.col(text).alias("_text"))
+    rows = stages.put(sized(rows, path).where("_size > 0"))
+    total = rows.agg(F.sum(F.ceil(F.col("_size") / capacity))).first()[0] or 0
+    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_size") / capacity).cast("int") - 1)))
     first = F.col("piece") * F.lit(capacity).cast("long")
     pieces = pieces.select(
-        F.pmod(F.xxhash64("_row", "piece"), F.lit(max(1, -(-int(total) // shard)))).alias("shard"), "_id", "piece", first.alias("first"),
+        F.pmod(F.xxhash64("_id", "_cluster", "piece"), F.lit(max(1, -(-int(total) // shard)))).alias("shard"), "_id", "piece", first.alias("first"),
         F.least(F.lit(capacity).cast("long"), F.col("_size") - first).alias("size"), "_source", "_cluster")
     return by_group(
         pieces, ["shard"], [], lambda rows: pack_group(rows, capacity),

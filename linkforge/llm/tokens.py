@@ -1,12 +1,11 @@
-"""Token counts: pieces are counted once for each distinct pre-token and joined to its frequencies.
+"""Token counts: pieces are counted once for each distinct pre-token and joined to per-document frequencies.
 
-A text is split into pre-tokens as the tokenizer does it; each document keeps frequencies of its pre-tokens
-only; the number of pieces of a pre-token comes from a table that every task fills once for each distinct
-pre-token; a document's count is the sum of frequency times pieces. Ids are never made. Special tokens that
-stand in a text count as one token, as in the library's default.
-
-The join happens inside the task that reads the documents, so nothing is shuffled. A task's table is
-emptied at MEMO entries: memory stays bounded and entries dropped are only counted again.
+A text is split into pre-tokens as the tokenizer does it. A first pass gathers the distinct pre-tokens of the
+whole table with their frequencies, and the tokenizer is asked for the pieces of each of them once. A second
+pass makes each document's frequencies of pre-tokens and joins them to that table: the COMMON most frequent
+pre-tokens (COMMON_BYTES at most) go to every task and are joined there, so no row of a frequent word is ever
+shuffled; what is left, rare words only, is joined by shuffle. A document's count is the sum of frequency times
+pieces. Ids are never made. Special tokens that stand in a text count as one token, as in the library's default.
 
 A null text counts as empty (0 tokens). Repeated rows are counted alike, extra columns are ignored, an empty
 table gives an empty result.
@@ -21,11 +20,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import Stages
 
 LIMIT = 2048
 MEMO = 400_000
 LONG = 200
-"""Pre-tokens over this length are counted without entering the table."""
+"""A worker's memory of pieces: entries, and the longest pre-token it keeps. It only saves asking again."""
+CHUNK_BYTES = 32 << 20
+"""A task hands its distinct pre-tokens on when they take so much."""
+COMMON, COMMON_BYTES = 200_000, 16 << 20
 ODD = re.compile("[^\\t-\\r -~\\xa1-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\\u012f\\u0131-\\u024f]")
 """Characters for which the standard library's character classes or case could differ from the
 tokenizer's; a text without them is split by ``re``, any other by the tokenizer's own normalizer and
@@ -76,26 +81,35 @@ class PieceCounter:
         differ from ours, split by the library; marked by a line feed, which no other pre-token has."""
         return ["\n" + w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.normalize(part))]
 
-    def count(self, text: str) -> int:
-        total, known = 0, self.memo.get
-        parts = [text]
+    def split(self, text: str) -> tuple[int, list[str]]:
+        """(special tokens, pre-tokens) of a text."""
+        special, parts, out = 0, [text], []
         if self.special and "<|" in text:
-            total = len(self.special.findall(text))
+            special = len(self.special.findall(text))
             parts = self.special.split(text)
         for part in parts:
             if not part:
                 continue
             if self.plain and not ODD.search(part):
-                found = PLAIN.findall(part.lower())
+                out += PLAIN.findall(part.lower())
             elif max(part) > "\uffff":
-                found = self.split_beyond(part)
+                out += self.split_beyond(part)
             else:
-                found = self.words.findall(self.normalize(part))
-            for word, times in Counter(found).items():
-                n = known(word)
-                if n is None:
-                    n = self.pieces(word, word[1:] if word[0] == "\n" else None)
-                total += times * n
+                out += self.words.findall(self.normalize(part))
+        return special, out
+
+    def of(self, word: str) -> int:
+        """Pieces of a pre-token as ``split`` gives it."""
+        n = self.memo.get(word)
+        return self.pieces(word, word[1:] if word[0] == "\n" else None) if n is None else n
+
+    def count(self, text: str) -> int:
+        """Tokens of one text, by way of the worker's memory alone."""
+        total, words = self.split(text)
+        known = self.memo.get
+        for word, times in Counter(words).items():
+            n = known(word)
+            total += times * (self.of(word) if n is None else n)
         return total
 
 
@@ -116,19 +130,86 @@ def counter(path: str) -> PieceCounter:
     return _counters[path]
 
 
+def pre_tokens(texts: DataFrame, path: str | None = None) -> DataFrame:
+    """``word, n, pieces``: the distinct pre-tokens of a column of texts, how often they stand there, and their
+    pieces, each asked for once."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path or vocabulary())
+        held: Counter = Counter()
+        size = seen = 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                words = c.split(text or "")[1]
+                held.update(words)
+                size += len(text or "")
+                if size - seen > CHUNK_BYTES // 8:  # distinct words are measured only now and then
+                    seen = size
+                    if sum(map(len, held)) + 60 * len(held) > CHUNK_BYTES:
+                        yield flush()
+                        held.clear()
+        if held:
+            yield flush()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path or vocabulary())
+        for batch in batches:
+            n = [c.of(w) for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["word", "n", "pieces"])
+
+    words = texts.mapInArrow(gather, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(ask, "word string, n long, pieces long")
+
+
+def most_common(table: DataFrame) -> dict[str, int]:
+    """Pieces of the most frequent pre-tokens, COMMON of them and COMMON_BYTES at most."""
+    out, room = {}, COMMON_BYTES
+    for r in table.orderBy(F.desc("n"), "word").limit(COMMON).select("word", "pieces").toLocalIterator():
+        room -= len(r.word.encode()) + 16
+        if room < 0:
+            break
+        out[r.word] = r.pieces
+    return out
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text: str = "text", path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """A row for each document: ``<id>, n_bytes, n_tokens, over_limit``."""
-    rows = docs.select(id_col, text)
+    spark = docs.sparkSession
+    stages = Stages(spark)
+    table = stages.put(pre_tokens(docs.select(text), path))
+    shared = spark.sparkContext.broadcast(most_common(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = counter(path or vocabulary())
+        c, pieces = counter(path or vocabulary()), shared.value.get
+        rest = pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            n = [c.count(t) for t in texts]
-            size = [len(t) if t.isascii() else len(t.encode()) for t in texts]
+            size, count, rare = [], [], []
+            for t in batch.column(2).to_pylist():
+                t = t or ""
+                total, words = c.split(t)
+                left = []
+                for word, times in Counter(words).items():
+                    n = pieces(word)
+                    if n is None:
+                        left.append({"word": word, "times": times})
+                    else:
+                        total += times * n
+                size.append(len(t) if t.isascii() else len(t.encode()))
+                count.append(total)
+                rare.append(left)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
-                names=[id_col, "n_bytes", "n_tokens", "over_limit"])
-
-    kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+                [*batch.columns[:2], pa.array(size, pa.int64()), pa.array(count, pa.int64()), pa.array(rare, rest)],
+                names=["_row", "_id", "n_bytes", "known", "rare"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    rows = stages.put(rows.mapInArrow(run, f"_row long, _id {kind}, n_bytes long, known long, rare array<struct<word:string,times:long>>"))
+    rare = rows.select("_row", F.explode("rare").alias("x")).select("_row", "x.word", "x.times").join(table.select("word", "pieces"), "word")
+    more = rare.groupBy("_row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    total = F.col("known") + F.coalesce("more", F.lit(0))
+    return rows.drop("rare").join(more, "_row", "left").select(
+        F.col("_id").alias(id_col), "n_bytes", total.alias("n_tokens"), (total > limit).alias("over_limit"))

@@ -185,9 +185,11 @@ def test_quality_keeps_columns(docs):
 
 def test_packing_whole(docs):
     out = packing.pack(docs, capacity=128).collect()
+    assert sorted(out) == sorted(packing.pack(docs.repartition(3), capacity=128).collect())
+    encode = tokens.counter(tokens.vocabulary()).tokenizer.encode
     want = {}
     for r in docs.collect():
-        want[r.doc_id] = want.get(r.doc_id, 0) + len((r.text or "").split())
+        want[r.doc_id] = want.get(r.doc_id, 0) + len(encode(r.text or "", add_special_tokens=False).ids)
     got: dict = {}
     bins: dict = {}
     for r in out:
@@ -198,7 +200,38 @@ def test_packing_whole(docs):
         assert sum(r.n_tokens for r in b) <= 128 and len({r.source for r in b}) == len(b) == len({r.cluster for r in b})
 
 
-def test_tokens_rows(docs):
+def plain_pack(rows, capacity):
+    """(id, piece) of each bin of one shard: (id, source, size, cluster) rows packed by looking at every bin."""
+    pieces = []
+    for d, source, size, cluster in rows:
+        pieces += [(min(capacity, size - k * capacity), d, k, source, cluster) for k in range(-(-size // capacity))]
+    bins = []
+    for size, d, k, source, cluster in sorted(pieces, key=lambda p: (-p[0], p[1], p[2])):
+        fits = [b for b in bins if b["room"] >= size and source not in b["source"] and cluster not in b["cluster"]]
+        if not fits:
+            bins.append({"room": capacity, "source": set(), "cluster": set(), "held": []})
+            fits = bins[-1:]
+        b = min(fits, key=lambda b: b["room"])
+        b["room"] -= size
+        b["source"].add(source), b["cluster"].add(cluster), b["held"].append((d, k))
+    return {frozenset(b["held"]) for b in bins}
+
+
+def test_packing_against_plain_version(spark):
+    """One shard; sizes are told, so bins hold what the plain version's bins hold."""
+    r = random.Random(3)
+    rows = [(i, f"s{r.randrange(30)}", r.choice([0, 1, 7, 30, 64, 65, 300, r.randrange(128)]), f"c{r.randrange(90)}") for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, n int, c string").withColumn("text", F.lit(None).cast("string"))
+    bins: dict = {}
+    for x in packing.pack(d, size=F.col("n"), cluster=F.col("c"), capacity=128).collect():
+        bins.setdefault(x.bin_id, set()).add((x.doc_id, x.piece))
+    assert {frozenset(b) for b in bins.values()} == plain_pack(rows, 128)
+
+
+def test_tokens_rows(docs, monkeypatch):
+    whole = sorted(map(str, tokens.count_tokens(docs).collect()))
+    monkeypatch.setattr(tokens, "COMMON", 3)  # nearly all words are joined by shuffle
+    assert sorted(map(str, tokens.count_tokens(docs).collect())) == whole
     out = {r.doc_id: r for r in tokens.count_tokens(docs).collect()}
     c = tokens.counter(tokens.vocabulary())
     for i, t in TEXTS.items():
