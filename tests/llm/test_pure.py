@@ -146,7 +146,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "<p>no</p>"
 
 
 def extract(page, template=frozenset()):
-    return H.text_of(H.main_roots(H.parse(page)), set(template))
+    return H.text_of(H.parse(page), set(template))
 
 
 def test_html():
@@ -158,20 +158,61 @@ def test_html():
     assert extract("<main><p>m</p></main><p>n") == "m"
 
 
+def test_html_marks_are_evidence():
+    assert extract('<div class="page no-sidebar"><p>a</p></div>') == extract('<div class="menu-open"><p>a</p></div>') == "a"
+    assert extract('<div class="content-sidebar"><article><p>a</p></article><div class="sidebar">s</div></div>') == "a"
+    assert extract('<article><p>a</p><p class="notice">b</p><div class="comments">c</div></article>') == "a\nb"
+    assert extract('<form><p>a long text</p></form><div class="notice">n</div><p>b</p>') == "a long text\nb"
+    assert extract("<article><h2>x</h2><p>teaser, a long one</p></article><article><h1>t</h1><p>a</p></article>") == "t\na"
+
+
+def test_html_broken_tags():
+    assert extract('<p>a</p><div class="x') == extract("<p>a</p><b") == extract("<p>a<!-- b") == "a"
+    assert extract('<a title="x>y">z</a>') == extract("<div class='a\"b'>z</div>") == extract("<!-->z<!--->") == "z"
+    assert extract("</b c='d>'>x</p>") == "x"
+    assert extract("<ul><li>a<ul><li>b</ul><li>c</ul>d") == "a\nb\nc\nd"
+
+
+def timed(page):
+    import time
+    start = time.process_time()
+    root = H.parse(page)
+    H.text_of(root), H.Outline(root)
+    return time.process_time() - start
+
+
+@pytest.mark.parametrize("page", [
+    "<p>a</p><div " + " ".join(f'a{i}="v"' for i in range(100_000)), "<div>" * 50_000 + "x", "<div>" * 5_000 + "<p>a</p>" * 50_000,
+    "<span><article>" + "<div>" * 5_000 + "</span>" * 100_000, '<div class="' + "a " * 500_000 + '">x</div>', '<a b="x>' * 100_000,
+    "<" * 1_000_000, "<a " * 500_000, "<!-- " * 300_000, "<ul>" + "<li>a <b>c</b>" * 60_000])
+def test_html_reading_is_linear(page):
+    assert timed(page) < 15
+
+
+def test_html_matching_is_bounded():
+    r = random.Random(2)
+    many = ["".join(f"<{r.choice(['p', 'div', 'ul', 'h2'])}>{f'<{k}>x</{k}>' * r.randint(0, 9)}" for _ in range(10_000)) for k in "bi"]
+    deep = ["<div>" * 5_000 + "<p>x", "<div>" * 4_990 + "<p>y<p>z"]
+    for pages in (many, deep):
+        a, b = (H.Outline(H.parse(p)) for p in pages)
+        assert len(H.Aligner().partners((a.label, a.up), (b.label, b.up))) == len(a.label)
+
+
 @given(st.text("<>/pab &;!-\"'=\n", max_size=60))
 @settings(deadline=None)
 def test_html_never_fails(s):
     extract(s)
 
 
-def plain_match(a, b):
-    if a.tag != b.tag:
+def plain_match(a, b, i=0, j=0):
+    """Simple tree matching of two outlines by plain recursion."""
+    if a.label[i] != b.label[j]:
         return 0
-    x, y = ([p for p in n.parts if not isinstance(p, str)] for n in (a, b))
+    x, y = ([k for k, p in enumerate(o.up) if p == n] for o, n in ((a, i), (b, j)))
     t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, p in enumerate(x):
-        for j, q in enumerate(y):
-            t[i + 1][j + 1] = max(t[i][j + 1], t[i + 1][j], t[i][j] + plain_match(p, q))
+    for u, p in enumerate(x):
+        for v, q in enumerate(y):
+            t[u + 1][v + 1] = max(t[u][v + 1], t[u + 1][v], t[u][v] + plain_match(a, b, p, q))
     return 1 + t[-1][-1]
 
 
@@ -180,7 +221,16 @@ def test_tree_matching(seed):
     r = random.Random(seed)
     def tree(depth):
         return "".join(f"<{(g := r.choice(['div', 'span', 'ul']))}>{tree(depth - 1) if depth else ''}</{g}>" for _ in range(r.randint(0, 3)))
-    a, b, shapes = H.parse(tree(3)), H.parse(tree(3)), H.Shapes()
-    shapes.number(a), shapes.number(b)
-    want = plain_match(a, b)
-    assert shapes.match(a.sig, b.sig)[0] == want == len(shapes.align(a, b))
+    a, b = (H.Outline(H.parse(tree(3))) for _ in range(2))
+    partner = H.Aligner().partners((a.label, a.up), (b.label, b.up))
+    found = [(x, y) for x, y in enumerate(partner) if y >= 0]
+    assert len(found) == plain_match(a, b) == len({y for _, y in found})
+    for x, y in found:
+        assert a.label[x] == b.label[y] and (x == 0 or partner[a.up[x]] == b.up[y])
+
+
+def test_outline_folds_long_lists():
+    o = H.Outline(H.parse("<ul>" + "".join(f"<li>{i}" for i in range(1000)) + "</ul><x-a></x-a><x-b></x-b>"))
+    assert o.label.count("li") == 2 * H.ENDS[0] + 1 and o.label.count("#other") == 2
+    o = H.Outline(H.parse("".join(f"<div>{'<p><b>x</b></p>' * 40}</div>" for _ in range(40))))
+    assert len(o.label) <= H.MOST_NODES
