@@ -3,6 +3,7 @@
 import hashlib
 import importlib.util
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,58 @@ def test_quality_keeps_columns(docs):
     assert out.where("doc_id = 10 and kept").count() == 1
 
 
+def plain_quality(texts):
+    """(base_failed, kept) of each text, by counting lines and contexts in dicts."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", t)
+    lines = [[" ".join(words(x)) for x in (t or "").split("\n") if len(words(x)) >= 4] for t in texts]
+    key = lambda line: quality.line_key(line.encode().split())
+    seen: dict = {}
+    for own in lines:
+        for x in set(own):
+            others = [key(y) for y in set(own) if y != x]
+            if others:
+                seen.setdefault(x, []).append(min(others))
+    boilerplate = {x for x, c in seen.items() if len(set(c)) >= 10 and 2 * len(set(c)) >= len(c)}
+
+    def fails(line, whole):
+        w = words(line)
+        text = line.strip()
+        return len(w) >= 4 and bool(
+            " ".join(w) in boilerplate or 100 * sum(c in "#*$%&|<>" for c in line) > 8 * len(line.encode()) or 100 * line.count("!!") > 30 * len(w)
+            or quality.SENTENCE_END.search(whole) and not quality.ends_well(text) and not quality.SENTENCE_END.search(text)
+            or 4 * sum(len(x) <= 3 and not re.search(r"\w", x) for x in w) > len(w) or len(w) >= 8 and 2 * max(w.count(x) for x in w) > len(w))
+
+    out = []
+    for t in texts:
+        w = words(t or "")
+        grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        base = len(w) < 50 or 100 * len(again) > 50 * len(w)
+        lost = sum(len(words(x)) for x in (t or "").split("\n") if fails(x, t))
+        out.append((base, not base and 2 * lost <= len(w)))
+    return out
+
+
+def test_quality_against_plain_version(spark, monkeypatch):
+    """Verdicts, with mined boilerplate: a notice of many pages, a family of copies that shares its lines, junk."""
+    r = random.Random(8)
+    line = lambda n: " ".join(r.choice(VOCAB) for _ in range(n)).capitalize() + "."
+    notice = "\n".join(line(20) for _ in range(2))
+    family = [line(15) for _ in range(6)]
+    texts = [None, "", " \n", line(49), line(50), "x " * 5000 + "."]
+    texts += [f"{line(25)}\n{notice}\n{line(20)}" for _ in range(12)] + [f"{notice}\n{line(12)}\nshort one" for _ in range(12)]
+    texts += ["\n".join([*family[:i % 6], line(15), *family[i % 6 + 1:]]) for i in range(30)]
+    texts += [f"{line(40)}\n" + " | ".join(words(60)), f"{line(60)}\n" + " | ".join(words(20)), " ".join(words(80)), f"{line(60)}\n" + "$$$ ".join(words(50))]
+    d = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    want = plain_quality(texts)
+    assert len(set(want)) == 3 and quality.mine_lines(d).count() == 2
+    for most in (quality.BROADCAST_LINES, 0):
+        monkeypatch.setattr(quality, "BROADCAST_LINES", most)
+        got = {x.doc_id: (x.base_failed, x.kept) for x in quality.digest(d).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+        assert quality.clean(d.union(d)).where("keep_id = 'k'").count() == 2 * len(texts)
+
+
 def test_packing_whole(docs):
     out = packing.pack(docs, capacity=128).collect()
     assert sorted(out) == sorted(packing.pack(docs.repartition(3), capacity=128).collect())
@@ -387,10 +440,34 @@ def test_warc_audit(spark):
     assert got == {(i, "damaged") for i in range(1500) if i % 37 == 5} | {(i, "missing") for i in range(1500) if i % 37 == 11}
     back = {(r.page_id, r.status) for r in warc.audit(warc.manifest(warc.rot(recs)), warc.manifest(recs)).collect()}
     assert {s for _, s in back} == {"damaged", "extra"}
+    anew = warc.audit(warc.manifest(recs), warc.manifest(warc.rot(recs).where("record is not null")))
+    assert {(r.page_id, r.status) for r in anew.collect()} == got and anew.count() == len(got)
     r = recs.where("page_id = 3").first()
     assert int(r.record.split("Content-Length: ")[1].split("\r\n")[0]) == len(("<p>é" * 3).encode())
 
 
+def test_warc_repeated_and_null_ids(spark):
+    rows = [(None, "u", "same")] * 5 + [(7, "u", "x")] * 3 + [(7, "u", "y")]
+    few = warc.records(pages_of(spark, rows), per_file=2)
+    assert few.where("page_id is null").select("file").distinct().count() == 3
+    less = warc.records(pages_of(spark, rows[1:6] + rows[8:]), per_file=2)
+    got = sorted(str((r.page_id, r.status)) for r in warc.audit(warc.manifest(few), warc.manifest(less)).collect())
+    assert got == ["(7, 'missing')", "(7, 'missing')", "(None, 'missing')"]
+
+
+def test_warc_files(spark, tmp_path):
+    """What is written lies where the manifest says, and reads back as it was."""
+    rows = [(i, f"http://a/{i}", "\r\n\r\nWARC/1.0\r\né" * (i % 50)) for i in range(1200)] + [(None, None, None)] * 2 + [(3, "http://a/3", "again")]
+    recs = warc.records(pages_of(spark, rows))
+    warc.write(recs, f"{tmp_path}/warc")
+    back = warc.read(spark, f"{tmp_path}/warc")
+    place = ["file", "offset", "length", "page_id", "digest"]
+    assert sorted(map(str, back.select(place).collect())) == sorted(map(str, warc.manifest(recs).select(place).collect()))
+    assert back.count() == len(rows)
+    assert warc.audit(warc.manifest(recs), back).count() == 0
+    assert {(r.page_id, r.html) for r in back.collect()} == {(i, h or "") for i, _, h in rows}
+
+
 @pytest.mark.skipif(not importlib.util.find_spec("corpus_pipeline"), reason="no pipeline")
 def test_pipeline(spark, tmp_path):
     """run() against the stages done plainly, one after the other."""

@@ -46,8 +46,16 @@ def test_quality_counts(parts):
 def test_quality_lines():
     good = "The river ran past the old mill and the children played on its banks until the evening came."
     assert quality.measure(good)[5] == 0
-    for bad in ("a$$$ b### c%%% d&&& e***", "home | news | sport | about | contact", "BUY!! NOW!! BEST!! PRICE!!", "This page uses cookies, see our cookie policy here", " ".join(["spam"] * 20)):
+    for bad in ("a$$$ b### c%%% d&&& e***", "home | news | sport | about | contact", "BUY!! NOW!! BEST!! PRICE!!", " ".join(["spam."] * 20),
+                "Home › News › Sport › About.", "a » b · c – d."):
         assert quality.measure(bad)[5] == len(bad.split()), bad
+    assert quality.measure("one line of words that never comes to an end")[5] == 0
+    assert quality.measure("It rained.\none line of words that never comes to an end")[5] == 10
+    for fine in ("A heading alone", "He said: “It was late.” Then he", "Was it late?", "这 是 一 句 话。", "a line (with a bracket)"):
+        assert quality.measure(fine)[5] == 0, fine
+    assert quality.measure(good, {quality.line_key(good.encode().split())})[5] == len(good.split())
+    long = "No line is too long to be judged. " * 40
+    assert quality.measure(long, {quality.line_key(long.encode().split())})[5] == len(long.split())
     assert quality.measure(None)[:6] == (0, 0, 0, 0, 0, 0)
 
 
