@@ -3,14 +3,18 @@
 The index over many texts is built column by column: in each round every text that still has one inserts
 one symbol, and the order of all suffixes (the collection's Burrows-Wheeler order) and the common prefix of
 neighbours are updated from the round before. Neighbours that share 200 bytes are repeats; whole bytes are
-compared, no hash decides. Columns lie one after the other in an external file that each round reads on.
+compared. Columns lie one after the other in the order of the rounds, and each round reads the next one. The
+external files of the method are the tables between the steps, in the shared folder; what a task holds at once
+is bounded, so it keeps its columns in memory and leaves nothing on its machine.
 
 Whole corpora would need as many rounds as the longest text has bytes, each over all data. So the rounds run
 over short stretches: every 200-byte window names as its anchor the 50 bytes in it with the least hash.
 Equal windows have equal anchors at equal offsets, so only stretches around equal anchors can hold a
-repeat; they are aligned at the anchor, 350 columns wide, and built by one task. Equal stretches are
-recognised by two hashes (128 bits) and enter once. An anchor with very many different stretches (a common
-line) is split by ranges of window starts, each keyed by the bytes that all its windows share.
+repeat; they are aligned at the anchor, 350 columns wide, and built by one task. Equal stretches enter once;
+they are recognised within one anchor by a 64-bit BLAKE2 digest of their bytes. An anchor with more than HOT
+different stretches (a common line) is split by ranges of window starts, each keyed by the bytes that all its
+windows share; where more than HUGE stretches share even those, their windows are counted one by one, by 128-bit
+digests, so no key's stretches are ever held by one task.
 
 Matches never cross documents. A null text is empty. Repeated rows are copies of each other. Null ids take
 part. Texts under 200 bytes stay whole. Extra columns are ignored. An empty table gives an empty result.
@@ -19,7 +23,6 @@ part. Texts under 200 bytes stay whole. Extra columns are ignored. An empty tabl
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,9 @@ from .common import Stages, sweep
 SPAN, ANCHOR = 200, 50
 STARTS = SPAN - ANCHOR + 1
 WIDTH = SPAN + STARTS - 1
-HOT, PART = 1000, 19
-"""An anchor with more than HOT different stretches is split into ranges of PART window starts."""
+HOT, PART, HUGE = 1000, 19, 50_000
+"""An anchor with more than HOT different stretches is split into ranges of PART window starts, one of these with
+more than HUGE into single windows."""
 BUFFER = 1 << 20
 BLOCK = 30_000
 """Stretches built together; a block ends with a key, so it can grow only by what one key holds."""
@@ -75,12 +79,17 @@ def mix(h: np.ndarray) -> np.ndarray:
 _hashers: list[Hasher] = []
 
 
+def short_digest(data: bytes, at: int) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, salt=at.to_bytes(2, "big")).digest(), "big", signed=True)
+
+
 def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     """Stretches of a list of texts: (text, anchor hash, stretch hash, first window, windows, anchor offset)."""
     if not _hashers:
-        _hashers.extend([Hasher(11), Hasher(12)])
-    one, two = _hashers
-    data = np.frombuffer(b"".join(texts), np.uint8)
+        _hashers.append(Hasher(11))
+    one = _hashers[0]
+    joined = b"".join(texts)
+    data = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     if len(data) < SPAN:
         return tuple(np.empty(0, np.int64) for _ in range(6))
@@ -103,11 +112,10 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     cut = np.concatenate([[0], np.flatnonzero(of[1:] != of[:-1]) + 1])
     windows = np.diff(np.append(cut, len(start)))
     lo, anchor = start[cut], of[cut].astype(np.int64)
-    s2 = two.sums(data)
-    x = (s2[lo + windows + SPAN - 1] - s2[lo]) * two.down[lo]
-    x = mix(x) ^ mix((anchor - lo).astype(np.uint64) * np.uint64(1024) + windows.astype(np.uint64) + np.uint64(1 << 40))
+    # the digest also tells where the anchor lies in the stretch
+    x = np.array([short_digest(joined[a: b], c) for a, b, c in zip(lo.tolist(), (lo + windows + SPAN - 1).tolist(), (anchor - lo).tolist(), strict=True)], np.int64)
     text = np.searchsorted(ends, lo, side="right")
-    return text, h[anchor].view(np.int64), x.view(np.int64), lo - np.concatenate([[0], ends])[text], windows, anchor - lo
+    return text, h[anchor].view(np.int64), x, lo - np.concatenate([[0], ends])[text], windows, anchor - lo
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
@@ -172,7 +180,7 @@ def cut_stretches(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key long, a long, x long, c int, raw binary")
 
 
-def build_columns(starts: np.ndarray, raws: list[bytes], folder: str | None = None) -> np.ndarray:
+def build_columns(starts: np.ndarray, raws: list[bytes]) -> np.ndarray:
     """Window starts that repeat: a boolean row of STARTS for each aligned stretch.
 
     Rounds go from the last column to the first. ``order`` lists the texts that have begun by rank of their
@@ -182,46 +190,43 @@ def build_columns(starts: np.ndarray, raws: list[bytes], folder: str | None = No
     hit = np.zeros((m, STARTS), bool)
     sizes = np.array([len(r) for r in raws])
     lasts = starts + sizes - 1
-    with tempfile.TemporaryFile(dir=folder) as f:
-        # external file, one column after the other in the order of the rounds
-        columns = np.memmap(f, np.uint8, "w+", shape=(WIDTH, m))
-        step = max(1, (8 << 20) // WIDTH)
-        for at in range(0, m, step):
-            block = np.zeros((min(step, m - at), WIDTH), np.uint8)
-            for i in range(len(block)):
-                block[i, starts[at + i]: starts[at + i] + sizes[at + i]] = np.frombuffer(raws[at + i], np.uint8)
-            columns[:, at: at + len(block)] = block[:, ::-1].T
-        order, lcp = np.empty(0, np.int32), np.empty(0, np.int16)
-        enter = np.argsort(-lasts, kind="stable")
-        entered = 0
-        for c in range(WIDTH - 1, -1, -1):
-            upto = entered
-            while upto < m and lasts[enter[upto]] >= c:
-                upto += 1
-            if upto > entered:  # an empty suffix comes before all others and shares nothing with them
-                order = np.concatenate([enter[entered:upto].astype(np.int32), order])
-                lcp = np.concatenate([np.zeros(upto - entered, np.int16), lcp])
-                entered = upto
-            if not len(order):
+    columns = np.zeros((WIDTH, m), np.uint8)  # one column after the other in the order of the rounds
+    step = max(1, (8 << 20) // WIDTH)
+    for at in range(0, m, step):
+        block = np.zeros((min(step, m - at), WIDTH), np.uint8)
+        for i in range(len(block)):
+            block[i, starts[at + i]: starts[at + i] + sizes[at + i]] = np.frombuffer(raws[at + i], np.uint8)
+        columns[:, at: at + len(block)] = block[:, ::-1].T
+    order, lcp = np.empty(0, np.int32), np.empty(0, np.int16)
+    enter = np.argsort(-lasts, kind="stable")
+    entered = 0
+    for c in range(WIDTH - 1, -1, -1):
+        upto = entered
+        while upto < m and lasts[enter[upto]] >= c:
+            upto += 1
+        if upto > entered:  # an empty suffix comes before all others and shares nothing with them
+            order = np.concatenate([enter[entered:upto].astype(np.int32), order])
+            lcp = np.concatenate([np.zeros(upto - entered, np.int16), lcp])
+            entered = upto
+        if not len(order):
+            continue
+        stay = starts[order] <= c
+        if not stay.all():
+            place = np.flatnonzero(stay)
+            if not len(place):
+                order, lcp = order[:0], lcp[:0]
                 continue
-            stay = starts[order] <= c
-            if not stay.all():
-                place = np.flatnonzero(stay)
-                if not len(place):
-                    order, lcp = order[:0], lcp[:0]
-                    continue
-                ahead = np.minimum.reduceat(lcp[: place[-1] + 1], np.concatenate([[0], place[:-1] + 1]))
-                order, lcp = order[place], ahead
-                lcp[0] = 0
-            symbol = columns[WIDTH - 1 - c][order]
-            rank = np.argsort(symbol, kind="stable")
-            lcp = _next_lcp(lcp, rank, symbol[rank])
-            order = order[rank]
-            if c < STARTS:
-                long = lcp >= SPAN
-                long[:-1] |= long[1:]
-                hit[order[long], c] = True
-        del columns
+            ahead = np.minimum.reduceat(lcp[: place[-1] + 1], np.concatenate([[0], place[:-1] + 1]))
+            order, lcp = order[place], ahead
+            lcp[0] = 0
+        symbol = columns[WIDTH - 1 - c][order]
+        rank = np.argsort(symbol, kind="stable")
+        lcp = _next_lcp(lcp, rank, symbol[rank])
+        order = order[rank]
+        if c < STARTS:
+            long = lcp >= SPAN
+            long[:-1] |= long[1:]
+            hit[order[long], c] = True
     return hit
 
 
@@ -274,6 +279,23 @@ def repeated(stretches: DataFrame) -> DataFrame:
     return stretches.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, x long, c0 int, c1 int")
 
 
+def single_windows(stretches: DataFrame) -> DataFrame:
+    """``window, a, x, c``: a 128-bit digest of each single window (with its key and start) of very many stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for key, a, x, c, raw in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                for i in range(len(raw) - SPAN + 1):
+                    place = key.to_bytes(8, "big", signed=True) + (c + i).to_bytes(2, "big")
+                    out.append((hashlib.blake2b(raw[i:i + SPAN], digest_size=16, salt=place).digest(), a, x, c + i))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.binary()), *(pa.array(columns[i], pa.int64()) for i in (1, 2)), pa.array(columns[3], pa.int32())], names=["window", "a", "x", "c"])
+
+    return stretches.select("key", "a", "x", "c", "raw").mapInArrow(run, "window binary, a long, x long, c int")
+
+
 def remove(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
     """The bytes outside of ``spans``, and the maximal removed runs."""
     runs: list[list[int]] = []
@@ -312,8 +334,16 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", stages:
     wanted = first.where("k > 1").groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "x", lo, w, d, (F.col("k") > HOT).alias("hot"))).alias("found"))
     stretches = stages.put(cut_stretches(rows.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("text", "found")))
     sweep(spark)
-    part = repeated(stretches).select("a", "x", "c0", "c1")
-    part = stages.put(part)
+    huge = stages.put(stretches.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > HUGE).select("key"))
+    if huge.isEmpty():
+        part = stages.put(repeated(stretches))
+    else:
+        alone = stages.put(single_windows(stretches.join(huge, "key", "left_semi")))
+        twice = stages.put(alone.groupBy("window").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("window"))
+        one_by_one = alone.join(twice, "window").select("a", "x", F.col("c").alias("c0"), F.col("c").alias("c1"))
+        part = stages.put(repeated(stretches.join(huge, "key", "left_anti")).unionByName(one_by_one))
+        stages.free(alone, twice)
+    stages.free(huge)
     whole = first.where("n > 1").select("a", "x", F.lit(0).alias("c0"), F.lit(STARTS - 1).alias("c1"))
     flagged = whole.unionByName(part.join(whole.select("a", "x"), ["a", "x"], "left_anti"))
     flagged = stages.put(flagged.groupBy("a", "x").agg(F.collect_list(F.struct("c0", "c1")).alias("ranges")))

@@ -159,6 +159,9 @@ def test_suffix_dedup_hot_anchor(docs, monkeypatch):
     want = sorted(map(str, suffix_dedup.digest(docs).collect()))
     monkeypatch.setattr(suffix_dedup, "HOT", 1)
     assert sorted(map(str, suffix_dedup.digest(docs).collect())) == want
+    for most in (0, 3):
+        monkeypatch.setattr(suffix_dedup, "HUGE", most)
+        assert sorted(map(str, suffix_dedup.digest(docs).collect())) == want
 
 
 def test_mixing_reaches_weights(spark):
