@@ -257,6 +257,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
         F.col("_row").alias("uid"), "_id", "_key", "n", "mh", "prefix"))
     post = one.select("uid", F.explode("prefix").alias("token"))
     sharing = post.groupBy("token").agg(F.min("uid").alias("lo"), F.max("uid").alias("hi")).where("lo < hi").select("token")
+    # tables that are joined back are written first: Spark splits hot keys of joins of written tables only
+    sharing = stages.put(sharing)
     post = stages.put(post.join(sharing.hint("merge"), "token").select("token", "uid"))
     sweep(spark)
 
@@ -281,6 +283,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     heads = matrix.where("uid = g")
     low = heads.groupBy("token").agg(F.min(F.struct("g", "n")).alias("lo"), F.max("g").alias("hi")).where("lo.g < hi").select(
         "token", F.col("lo.g").alias("lo"), F.col("lo.n").alias("n0"))
+    low = stages.put(low)
     star = heads.join(low, "token").where("g <> lo").select(F.col("g").alias("q"), "n", F.col("lo").alias("g"), "n0", F.col("n0").alias("n1"))
     star = stages.put(qualified(star, percent))
     sweep(spark)
@@ -292,9 +295,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     # every set against every group of another component
     with_comp = matrix.join(comp, F.col("g") == F.col("node"), "left").select("token", "uid", "n", "g", F.coalesce("comp", "g").alias("comp"))
     weight = leaders.join(comp, F.col("g") == F.col("node"), "left").groupBy(F.coalesce("comp", "g").alias("comp")).agg(F.count(F.lit(1)).alias("size"))
-    with_comp = with_comp.join(weight, "comp")
+    weight = stages.put(weight)
+    with_comp = stages.put(with_comp.join(weight, "comp"))
     two = with_comp.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    with_comp = stages.put(with_comp.join(two, "token"))
+    two, every_token = stages.put(two), with_comp
+    with_comp = stages.put(every_token.join(two, "token"))
+    stages.free(every_token, two, weight)
     sizes = leaders.groupBy("g").agg(F.min("n").alias("n0"), F.max("n").alias("n1"))
     groups = with_comp.select("token", "g", F.col("comp").alias("gc"), F.col("size").alias("gsize")).distinct().join(sizes, "g")
     # the sets of the smaller component query the groups of the larger one
@@ -309,13 +315,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int
     whole = nodes.join(leaders.select("uid", "g"), "uid", "left").join(last, F.col("g") == F.col("node"), "left").select(
         "sig", "least", F.coalesce("comp", "g", "uid").alias("comp"))
     whole = stages.put(whole)
-    names = whole.groupBy("comp").agg(F.min("least").alias("component_id"))
+    names = stages.put(whole.groupBy("comp").agg(F.min("least").alias("component_id")))
     named = stages.put(whole.join(names, "comp").select("sig", "component_id"))
     out = every.select("_id", "n", "sig").join(named, "sig", "left").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
     out = stages.put(out)
-    stages.free(every, nodes, some, sets, leaders, matrix, links, comp, with_comp, pairs, last, whole, named)
+    stages.free(every, nodes, sharing, some, sets, leaders, matrix, low, links, comp, with_comp, pairs, last, whole, names, named)
     return out
 
 
