@@ -2,9 +2,12 @@
 
 Only DataFrame functions are used. Texts are equal when identical after all white space
 ``[\\x20\\x09-\\x0D]`` is deleted; a null text counts as empty, so null, empty and blank texts form one
-group. Of equal texts the row with most code points stays, then the smallest id (null ids come last),
-then, for rows repeated with one id, the first row of the scan. Extra columns pass through untouched.
-An empty table gives an empty result.
+group. Of equal texts the row with most code points stays, then the smallest id (null ids come last). Of rows
+repeated with one id one stays: in ``decisions`` any of them, as they give equal rows, in ``drop_copies`` the one
+whose columns come first as JSON. Extra columns pass through untouched. An empty table gives an empty result.
+
+Best rows are written before they are joined back: a join of two written tables is one whose hot groups Spark
+splits at run time, which it doesn't do with an aggregate on one side.
 """
 
 from __future__ import annotations
@@ -39,6 +42,7 @@ def decisions(docs: DataFrame, text: str = "text", id_col: str = "doc_id", hash_
     best = rows.groupBy("_h", "_class").agg(
         F.min(F.struct(-F.col("_len"), F.col("_id").isNull(), "_id", "_row")).alias("_best"),
         F.count(F.lit(1)).alias("group_size"))
+    best = stages.put(best)
     out = rows.join(best, ["_h", "_class"])
     return out.select(
         F.col("_id").alias(id_col), F.col("_best._id").alias("keep_id"), "group_size",
@@ -74,7 +78,7 @@ def drop_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", has
     kept = rows.join(best, (F.col("_h") == F.col("_bh")) & (F.col("_class") == F.col("_bc"))
                      & (F.col("_len") == F.col("_bl")) & F.col("_id").eqNullSafe(F.col("_bid")))
     once = kept.where("_same = 1").select("_doc.*")
-    again = kept.where("_same > 1").dropDuplicates(["_h", "_class"]).select("_doc.*")
+    again = kept.where("_same > 1").groupBy("_h", "_class").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc")).select("_doc.*")
     return once.unionByName(again)
 
 
