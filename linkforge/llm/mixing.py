@@ -3,7 +3,9 @@
 Each source gets the mean repetition rate that brings its share of characters to its target weight. A
 document's number of copies is a Poisson variate with that mean, inverted from a uniform number that only
 depends on the seed and the id, so every run and every retry gives the same copies. Copies are then dealt
-over the whole cluster and sorted by a hash: a global shuffle of the corpus.
+over the whole cluster and sorted by a hash: a global shuffle of the corpus. As the hash is uniform, its leading
+bits name the partition; no pass over the data is needed to find ranges. The quantiles of the Poisson distribution
+are worked out once for each source.
 
 Null ids share the key ``null``, repeated rows get equal counts, null texts weigh nothing and null sources
 form a source of their own. Sources without a listed weight share ``1 - sum(listed)`` evenly. A source
@@ -44,26 +46,28 @@ def uniform(seed: str, *keys):
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
 
 
-def poisson(u, mean):
-    """The Poisson quantile of ``u`` for a mean of at most PART: counts values of the CDF below ``u``.
-
-    Terms end where the tail lies under 2**-52, the resolution of ``u``.
-    """
+def poisson_cdf(mean):
+    """Values of the Poisson distribution function for a mean of at most PART, as an array; the quantile of a
+    uniform number is how many of them it reaches. Values end where the tail lies under 2**-52, the resolution of
+    the uniform numbers."""
     top = int(PART + 12 * math.sqrt(PART) + 12)
-    start = F.struct(F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.lit(0).alias("n"))
+    start = F.struct(F.exp(-mean).alias("term"), F.array(F.exp(-mean)).alias("cdf"))
     done = F.aggregate(
         F.sequence(F.lit(1), F.lit(top)), start,
         lambda s, k: F.struct(
-            (s["term"] * mean / k).alias("term"), (s["cdf"] + s["term"] * mean / k).alias("cdf"),
-            (s["n"] + F.when(u >= s["cdf"], 1).otherwise(0)).alias("n")))
-    return done["n"]
+            (s["term"] * mean / k).alias("term"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + s["term"] * mean / k)).alias("cdf")))
+    return F.filter(done["cdf"], lambda c: c <= 1 - 2.0 ** -52)
+
+
+def parts(rate):
+    """Rates over PART are sums of independent parts."""
+    return F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
 
 
-def copies(rate, key, seed: str = SEED):
-    """Number of copies for a mean rate; rates over PART are sums of independent parts."""
-    parts = F.greatest(F.ceil(rate / PART), F.lit(1)).cast("int")
-    each = F.transform(F.sequence(F.lit(1), parts), lambda k: poisson(uniform(seed, key, k.cast("string")), rate / parts))
-    return F.aggregate(each, F.lit(0), lambda a, b: a + b)
+def copies(number_of_parts, cdf, key, seed: str = SEED):
+    """Number of copies: the quantiles of one uniform number for each part, added."""
+    numbers = F.transform(F.sequence(F.lit(1), number_of_parts), lambda k: uniform(seed, key, k.cast("string")))
+    return F.aggregate(F.transform(numbers, lambda u: F.size(F.filter(cdf, lambda c: u >= c))), F.lit(0), lambda a, b: a + b)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = EPOCHS, seed: str = SEED,
@@ -72,16 +76,21 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     (in the place of columns of these names).
 
     The rates have a row for each source; Spark broadcasts them only under its own size threshold and
-    otherwise joins by shuffle.
+    otherwise joins by shuffle. The output has ``spark.sql.shuffle.partitions`` partitions, in hash order.
     """
-    side = rates(docs, WEIGHTS if weights is None else weights, epochs, source, text).select(F.col(source).alias("_s"), F.col("rate").alias("_rate"))
+    side = rates(docs, WEIGHTS if weights is None else weights, epochs, source, text).select(
+        F.col(source).alias("_s"), parts(F.col("rate")).alias("_parts"), "rate")
+    side = Stages(docs.sparkSession).put(side.select("_s", "_parts", poisson_cdf(F.col("rate") / F.col("_parts")).alias("_cdf")))
     rows = docs.drop("copy", "n_copies", "shuffle_key")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = rows.select(key.alias("_key"), F.col(source).alias("_source"), F.struct(*[rows[c] for c in rows.columns]).alias("_doc"))
-    rows = rows.join(side, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_key", "_doc", copies(F.col("_rate"), F.col("_key"), seed).alias("n_copies"))
+    rows = rows.join(side, F.col("_source").eqNullSafe(F.col("_s")), "left").select("_key", "_doc", copies(F.col("_parts"), F.col("_cdf"), F.col("_key"), seed).alias("n_copies"))
     rows = rows.where("n_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), "_key", F.col("copy").cast("string"))))
-    return rows.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key").select("_doc.*", "copy", "n_copies", "shuffle_key")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = F.conv(F.substring("shuffle_key", 1, 8), 16, 10).cast("long") * n
+    rows = rows.withColumn("_at", F.shiftright(at, 32).cast("int")).repartitionById(n, "_at")
+    return rows.sortWithinPartitions("shuffle_key").select("_doc.*", "copy", "n_copies", "shuffle_key")
 
 
 ORACLE = """
