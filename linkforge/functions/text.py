@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+import zlib
 from functools import lru_cache
 
 import pandas as pd
@@ -12,6 +13,9 @@ from pyspark.sql.types import StringType
 
 from .lexicon import ADDR_CANON, LANDMARK, LEGAL, LEGAL_CANON, LEGAL_FORM
 
+BUCKET = 8
+"""About so many rules stand in one map."""
+# What counts as a link in a name, and how single characters are written in ASCII.
 URL = r"(^|\s)(https?://)?(www\.)?([a-z0-9\-]+)\.(com|net|org|in|co|io|fr|us|biz|info)\b"
 VOWELS = "aeiou"
 LATIN = {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "ng",
@@ -80,10 +84,20 @@ def joined(tokens: Column) -> Column:
 
 def lookup(tokens: Column, rules: dict[str, str]) -> Column:
     """Each token replaced by its rule; unknown tokens stay."""
-    if not rules:
-        return tokens
-    table = F.create_map(*[F.lit(x) for kv in rules.items() for x in kv])
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(table, t), t))
+    return F.transform(tokens, lambda t: F.coalesce(rule_of(t, rules), t)) if rules else tokens
+
+
+def rule_of(key: Column, rules: dict[str, str]) -> Column:
+    """The rule for a key, or null. Maps are searched one entry after the other, so many rules are dealt by the
+    key's checksum to maps of a few entries."""
+    size = 1
+    while size * BUCKET < len(rules):
+        size *= 2
+    dealt: list[list[Column]] = [[] for _ in range(size)]
+    for k, v in rules.items():
+        dealt[zlib.crc32(k.encode()) % size] += [F.lit(k), F.lit(v)]
+    maps = [F.create_map(*own).cast("map<string,string>") for own in dealt]
+    return F.try_element_at(F.get(F.array(*maps), F.pmod(F.crc32(key), F.lit(size)).cast("int")) if size > 1 else maps[0], key)
 
 
 def legal_forms(tokens: Column) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import core_tokens, joined, legal_forms, lookup
+from ..functions.text import core_tokens, joined, legal_forms, lookup, rule_of
 
+MOST_RULES = 100_000
+"""Rules become part of the plan; more than these are refused. Mining asks for support, so there are some hundreds."""
 SCHEMA = "scope string, country string, field string, x string, y string"
 
 
@@ -75,6 +77,8 @@ def without_chains(rules: DataFrame) -> DataFrame:
 
 def as_maps(rules: DataFrame) -> dict:
     """Rules (few hundred) as nested dicts: nm, addr, translit, by_country."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rewrite rules: raise the support that mining asks for")
     out: dict = {"nm": {}, "addr": {}, "translit": {}, "by_country": {}}
     for r in rules.orderBy("scope", "country", "field", "x").collect():
         if r.scope == "country":
@@ -90,6 +94,14 @@ def from_maps(spark: SparkSession, maps: dict) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def _by_country(text, field: str, rules: dict):
+    """Applies the rules of each record's own country; one table holds those of all countries."""
+    table = {f"{country}\x1f{x}": y for country, own in sorted(rules.items()) for x, y in own.get(field, {}).items()}
+    if not table:
+        return text
+    return joined(F.transform(F.split(text, " "), lambda t: F.coalesce(rule_of(F.concat(F.col("country"), F.lit("\x1f"), t), table), t)))
+
+
 def rewrite(records: DataFrame, maps: dict) -> DataFrame:
     """Applies rules to ``nm`` and ``addr`` and derives ``core`` and ``legal`` anew; ``nums`` stay.
 
@@ -100,11 +112,6 @@ def rewrite(records: DataFrame, maps: dict) -> DataFrame:
         nm = F.when(F.col("indic") == 1, lookup(nm, maps["translit"])).otherwise(nm)
     nm, addr = lookup(nm, maps.get("nm", {})), lookup(addr, maps.get("addr", {}))
     nm, addr = joined(nm), joined(addr)
-    for country, rules in sorted(maps.get("by_country", {}).items()):
-        here = F.col("country") == country
-        if rules.get("nm"):
-            nm = F.when(here, joined(lookup(F.split(nm, " "), rules["nm"]))).otherwise(nm)
-        if rules.get("addr"):
-            addr = F.when(here, joined(lookup(F.split(addr, " "), rules["addr"]))).otherwise(addr)
+    nm, addr = (_by_country(text, field, maps.get("by_country", {})) for text, field in ((nm, "nm"), (addr, "addr")))
     out = records.withColumns({"nm": nm, "addr": addr}).withColumn("_t", F.split("nm", " "))
     return out.withColumns({"core": joined(core_tokens(F.col("_t"))), "legal": joined(legal_forms(F.col("_t")))}).drop("_t")

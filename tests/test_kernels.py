@@ -72,3 +72,30 @@ def test_best_prefix_is_brute_force(seed):
 def test_poisson_binomial_sums_to_one():
     d = poisson_binomial(np.array([0.2, 0.5, 0.9]))
     assert d.sum() == pytest.approx(1) and d[3] == pytest.approx(0.09)
+
+
+def test_rules_of_many_countries(spark):
+    """One table holds the rules of all countries: the plan grows with their number only once."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from linkforge.operators import rules
+
+    maps = {"nm": {f"a{i}": f"b{i} c" for i in range(900)}, "addr": {"street": "st"},
+            "by_country": {f"C{k}": {"nm": {"c": f"land {k}", **{f"x{i}": f"y{i}" for i in range(30)}}, "addr": {"st": f"st{k}"}} for k in range(30)}}
+    rows = [(k, f"C{k}" if k < 30 else None, f"a{k} x3 zz", "9 street", 0) for k in range(40)]
+    d = spark.createDataFrame(rows, "id long, country string, nm string, addr string, indic int")
+    start = time.time()
+    got = {r.id: (r.nm, r.addr) for r in rules.rewrite(d, maps).collect()}
+    assert time.time() - start < 60
+    assert got == {k: (f"b{k} land {k} y3 zz", f"9 st{k}") if k < 30 else (f"b{k} c x3 zz", "9 st") for k in range(40)}
+    assert rules.rewrite(d, {"nm": {}, "addr": {}, "by_country": {}}).where(F.col("nm") != F.concat(F.lit("a"), F.col("id"), F.lit(" x3 zz"))).count() == 0
+
+
+def test_too_many_rules_are_refused(spark):
+    from linkforge.operators import rules
+
+    many = spark.range(rules.MOST_RULES + 1).selectExpr("'all' scope", "'' country", "'nm' field", "cast(id as string) x", "'y' y")
+    with pytest.raises(ValueError):
+        rules.as_maps(many)
