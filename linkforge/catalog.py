@@ -33,7 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.normalise(fixture.records(spark, sf_dir))
+    """Normalised records, kept for the session as the linkage run keeps them in its work folder."""
+    return text.normalise(fixture.records(spark, sf_dir)).persist()
 
 
 def _sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -91,13 +92,18 @@ def _char_sql(core: str) -> str:
     return f"list_distinct(list_transform(range(1, greatest(length({s}) - 2, 1)), lambda i: substr({s}, i, 4)))"
 
 
-def _scores_sql(docs: str, p: str, min_cap: int = blocking.MIN_CAP) -> str:
-    """CTEs from {docs}(part, side, id, features) to {p}s(part, q, t, score)."""
+def _weights_sql(docs: str, p: str, min_cap: int = blocking.MIN_CAP) -> str:
+    """CTEs from {docs}(part, side, id, features) to {p}w(part, side, id, f, w)."""
     return f"""
 {p}l AS (SELECT part, side, id, unnest(features) AS f FROM {docs}), {p}n AS (SELECT part, count(*) AS n FROM {docs} GROUP BY part),
 {p}d AS (SELECT part, f, count(*) AS df FROM {p}l GROUP BY part, f),
 {p}i AS (SELECT part, f, ln((1.0::DOUBLE + n) / (1.0::DOUBLE + df)) + 1.0 AS idf FROM {p}d JOIN {p}n USING (part) WHERE df <= greatest({blocking.MAX_DF} * n, {min_cap})),
-{p}w AS (SELECT part, side, id, f, idf / sqrt(sum(idf * idf) OVER (PARTITION BY part, side, id)) AS w FROM {p}l JOIN {p}i USING (part, f)),
+{p}w AS (SELECT part, side, id, f, idf / sqrt(sum(idf * idf) OVER (PARTITION BY part, side, id)) AS w FROM {p}l JOIN {p}i USING (part, f))"""
+
+
+def _scores_sql(docs: str, p: str, min_cap: int = blocking.MIN_CAP) -> str:
+    """CTEs from {docs}(part, side, id, features) to {p}s(part, q, t, score)."""
+    return f"""{_weights_sql(docs, p, min_cap)},
 {p}s AS (SELECT a.part, a.id AS q, b.id AS t, round(sum(a.w * b.w), {blocking.DIGITS}) AS score FROM {p}w a JOIN {p}w b ON a.part = b.part AND a.f = b.f
    AND a.side = 'q' AND b.side = 't' GROUP BY a.part, a.id, b.id)"""
 
@@ -115,8 +121,9 @@ p1 AS (SELECT *, greatest(w, c) AS p1 FROM cand)"""
 
 
 def _block(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, kept like the records, and both sides."""
     s1, targets = _sides(_records(spark, sf_dir))
-    return blocking.block(s1, targets, K_WORD, K_CHAR), s1, targets
+    return blocking.block(s1, targets, K_WORD, K_CHAR).persist(), s1, targets
 
 
 def _p1(spark, sf_dir) -> DataFrame:
@@ -164,6 +171,11 @@ def target_lookup(spark, sf_dir):
     return df.join(fixture.truth(spark, sf_dir), F.col("id") == F.col("t")).select("src", "id", "t")
 
 
+@query(f"WITH {PREP} SELECT id, core, addr, nums FROM prep WHERE src <> '1' AND id IN (SELECT t FROM truth)")
+def target_records(spark, sf_dir):
+    return tables.target_records(_records(spark, sf_dir), fixture.truth(spark, sf_dir).select(F.col("t").alias("id")).distinct())
+
+
 # --- normalisation ----------------------------------------------------------------------------------------
 @query(f"WITH rec AS (SELECT id, raw_name FROM ({fixture.RECORDS}) UNION ALL SELECT 'P' || page_id, url FROM pages), {_names_sql('rec')} SELECT id, nm, core, legal FROM names")
 def normalise_names(spark, sf_dir):
@@ -237,39 +249,41 @@ def merged_rules(spark, sf_dir):
 
 # --- blocking ---------------------------------------------------------------------------------------------
 def _documents(spark, sf_dir) -> DataFrame:
+    """Queries are the documents whose id is divisible by 50, targets are all documents."""
     d = _table(spark, sf_dir, "documents")
-    return d.select(F.coalesce("lang", F.lit("")).alias("part"), F.when(F.col("doc_id") % 4 == 0, "q").otherwise("t").alias("side"), F.col("doc_id").alias("id"),
-                    blocking.word_features(F.lower(F.coalesce("text", F.lit(""))), F.lit("")).alias("features"))
+    side = F.explode(F.when(F.col("doc_id") % 50 == 0, F.array(F.lit("q"), F.lit("t"))).otherwise(F.array(F.lit("t")))).alias("side")
+    features = blocking.word_features(F.lower(F.coalesce("text", F.lit(""))), F.lit("")).alias("features")
+    return d.select(F.coalesce("lang", F.lit("")).alias("part"), F.col("doc_id").alias("id"), features, side).select("part", "side", "id", "features")
 
 
-_DOCS = f"""docs AS (SELECT coalesce(lang, '') AS part, CASE WHEN doc_id % 4 = 0 THEN 'q' ELSE 't' END AS side, doc_id AS id,
+_DOCS = f"""d1 AS (SELECT coalesce(lang, '') AS part, doc_id AS id,
   list_distinct(list_concat(list_transform(w, lambda x: 'n_' || x), list_transform(range(1, greatest(len(w), 1)), lambda i: 'nb_' || w[i] || '_' || w[i + 1]),
     CASE WHEN len(w) > 0 THEN ['ns_' || array_to_string(list_sort(w), '')] ELSE [] END)) AS features
-  FROM (SELECT *, {_SPLIT.format("lower(coalesce(text, ''))")} AS w FROM documents)), {_scores_sql('docs', 'k')}"""
-_TOP = f"top AS (SELECT *, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t) AS r FROM ks WHERE score > 0.05 QUALIFY r <= {K_WORD})"
+  FROM (SELECT *, {_SPLIT.format("lower(coalesce(text, ''))")} AS w FROM documents)),
+docs AS (SELECT part, 't' AS side, id, features FROM d1 UNION ALL SELECT part, 'q', id, features FROM d1 WHERE id % 50 = 0)"""
+_TOP = f"top AS (SELECT *, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t) AS r FROM ks WHERE score > 0.05 AND q <> t QUALIFY r <= {K_WORD})"
 
 
-@query(f"WITH {_DOCS}, {_TOP} SELECT part, q, t, score, r::INTEGER AS r FROM top")
+@query(f"WITH {_DOCS}, {_scores_sql('docs', 'k')}, {_TOP} SELECT part, q, t, score, r::INTEGER AS r FROM top")
 def topk_cosine_docs(spark, sf_dir):
-    return blocking.topk_join(_documents(spark, sf_dir), K_WORD, 0.05)
+    return blocking.topk_others(_documents(spark, sf_dir), K_WORD, 0.05)
 
 
-@query(f"""WITH {_DOCS}, {_TOP}, own AS (SELECT part, q, t, score FROM top QUALIFY row_number() OVER (PARTITION BY part, t ORDER BY score DESC, q) = 1)
+@query(f"""WITH {_DOCS}, {_scores_sql('docs', 'k')}, {_TOP}, own AS (SELECT part, q, t, score FROM top QUALIFY row_number() OVER (PARTITION BY part, t ORDER BY score DESC, q) = 1)
 SELECT part, q, t, score FROM own WHERE score > 0.5""")
 def linked_documents(spark, sf_dir):
     """Flagship: near-equal documents found by the top-k join, each target with its best query only."""
-    top = blocking.topk_join(_documents(spark, sf_dir), K_WORD, 0.05)
+    top = blocking.topk_others(_documents(spark, sf_dir), K_WORD, 0.05)
     best = decode.exclusive(top.select(F.struct("part", "q").alias("q"), F.struct("part", "t").alias("t"), F.col("score").alias("p")))
     return best.where("p > 0.5").select("q.part", "q.q", "t.t", F.col("p").alias("score"))
 
 
-@query(f"WITH {_DOCS} SELECT part, f AS feature, df, round(idf, 6) AS idf FROM kd JOIN ki USING (part, f)")
+@query(f"""WITH {_DOCS}, {_weights_sql('docs', 'k')} SELECT part, side, id, count(*) AS n_features, round(sum(w), 6) AS sum_w, round(max(w), 6) AS max_w
+FROM kw GROUP BY part, side, id""")
 def df_cap_features(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
-    long = docs.select("part", F.explode("features").alias("feature"))
-    df = long.groupBy("part", "feature").agg(F.count(F.lit(1)).alias("df")).join(docs.groupBy("part").agg(F.count(F.lit(1)).alias("n")), "part")
-    df = df.where(F.col("df") <= F.greatest(F.lit(blocking.MAX_DF) * F.col("n"), F.lit(float(blocking.MIN_CAP))))
-    return df.select("part", "feature", "df", F.round(F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0, 6).alias("idf"))
+    """What the document frequency cap leaves of each document, and its weights."""
+    w = blocking.weights(_documents(spark, sf_dir))
+    return _rounded(w.groupBy("part", "side", "id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w")), "sum_w", "max_w")
 
 
 @query(f"""WITH docs AS (SELECT 'all' AS part, CASE WHEN p_partkey % 5 = 0 THEN 'q' ELSE 't' END AS side, p_partkey AS id, {_char_sql("lower(p_name || p_type)")} AS features FROM part),
@@ -307,7 +321,65 @@ def jw_similarity(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("a", "b", F.round(k["sim"], 6).alias("sim"))
 
 
-@query()
+def _masks(short: str, text: str) -> str:
+    """For each character of a text the places where ``short`` has it, as bits."""
+    return (f"list_transform(string_split({text}, ''), lambda ch: coalesce(list_sum(list_transform(range(0, length({short})), "
+            f"lambda i: CASE WHEN {short}[i + 1] = ch THEN 1::HUGEINT << i::INTEGER ELSE 0::HUGEINT END)), 0::HUGEINT))")
+
+
+def _lcs_sql(short: str, masks: str) -> str:
+    """Length of the longest common subsequence by bit operations; strings have up to 120 characters."""
+    full = f"((1::HUGEINT << length({short})::INTEGER) - 1)"
+    return f"(length({short}) - bit_count(list_reduce({masks}, lambda d, m: ((d + (d & m)) | (d - (d & m))) & {full}, {full})))"
+
+
+def _ratio_sql(a: str, b: str) -> str:
+    return (f"CASE WHEN length({a}) + length({b}) = 0 THEN 100.0::DOUBLE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0::DOUBLE "
+            f"ELSE 200.0::DOUBLE * {_lcs_sql(a, _masks(a, b))} / (length({a}) + length({b})) END")
+
+
+def _best_window_sql(short: str, long: str, masks: str) -> str:
+    n, m = f"length({short})", f"length({long})"
+    lo, hi = f"greatest(0, e - {n})", f"least(e, {m})"
+    part = _lcs_sql(short, f"{masks}[({lo} + 1):({hi})]")
+    return (f"CASE WHEN contains({long}, {short}) THEN 100.0::DOUBLE ELSE list_max(list_transform(range(1, {m} + {n}), "
+            f"lambda e: 200.0::DOUBLE * {part} / ({n} + {hi} - {lo}))) END")
+
+
+def _kernels_sql(source: str, out: str, wanted: dict[str, tuple[str, str, str]]) -> str:
+    """CTEs that add similarities ``name: (kernel, left, right)`` to {source} as {out}, rounded."""
+    first, second, third = [], [], []
+    for name, (kernel, left, right) in wanted.items():
+        a, b = f"{name}_a", f"{name}_b"
+        if kernel == "ratio":
+            first += [f"{left} AS {a}", f"{right} AS {b}"]
+            third.append(f"round({_ratio_sql(a, b)}, 6) AS {name}")
+        elif kernel == "token_sort":
+            first += [f"array_to_string(list_sort({_SPLIT.format(x)}), ' ') AS {y}" for x, y in ((left, a), (right, b))]
+            third.append(f"round({_ratio_sql(a, b)}, 6) AS {name}")
+        elif kernel == "token_set":
+            first += [f"list_sort(list_distinct({_SPLIT.format(x)})) AS {y}" for x, y in ((left, a), (right, b))]
+            both, p, q = f"list_filter({a}, lambda x: list_contains({b}, x))", f"{name}_p", f"{name}_q"
+            second += [f"array_to_string({both}, ' ') AS {name}_s", f"array_to_string(list_concat({both}, list_filter({a}, lambda x: NOT list_contains({b}, x))), ' ') AS {p}",
+                       f"array_to_string(list_concat({both}, list_filter({b}, lambda x: NOT list_contains({a}, x))), ' ') AS {q}"]
+            part = [f"200.0::DOUBLE * length({name}_s) / (length({name}_s) + length({x}))" for x in (p, q)]
+            third.append(f"round(CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 WHEN {name}_s <> '' AND ({p} = {name}_s OR {q} = {name}_s) THEN 100.0 "
+                         f"ELSE greatest({_ratio_sql(p, q)}, CASE WHEN {name}_s <> '' THEN greatest({part[0]}, {part[1]}) ELSE 0.0 END) END, 6) AS {name}")
+        elif kernel == "partial":
+            swap = f"length({left}) > length({right})"
+            first += [f"CASE WHEN {swap} THEN {right} ELSE {left} END AS {a}", f"CASE WHEN {swap} THEN {left} ELSE {right} END AS {b}"]
+            second += [f"{_masks(a, b)} AS {name}_m", f"CASE WHEN length({a}) = length({b}) THEN {_masks(b, a)} END AS {name}_n"]
+            third.append(f"round(CASE WHEN {a} = '' OR {b} = '' THEN CASE WHEN {a} = {b} THEN 100.0 ELSE 0.0 END WHEN length({a}) = length({b}) "
+                         f"THEN greatest({_best_window_sql(a, b, f'{name}_m')}, {_best_window_sql(b, a, f'{name}_n')}) ELSE {_best_window_sql(a, b, f'{name}_m')} END, 6) AS {name}")
+        else:
+            third.append(f"round(jaro_winkler_similarity({left}, {right}), 6) AS {name}")
+    second = second or ["1 AS no_step"]
+    return (f"{out}1 AS (SELECT *, {', '.join(first)} FROM {source}), {out}2 AS (SELECT *, {', '.join(second)} FROM {out}1), "
+            f"{out} AS (SELECT *, {', '.join(third)} FROM {out}2)")
+
+
+@query(f"""WITH {_PARTS}, {_kernels_sql('x', 'k', {n: (n, 's', 't') for n in ('ratio', 'token_sort', 'token_set', 'partial')})}
+SELECT a, b, ratio, token_sort, token_set, partial FROM k""")
 def indel_kernels(spark, sf_dir):
     names = ("ratio", "token_sort", "token_set", "partial")
     k = similarity.kernels({n: (n, F.col("s"), F.col("t")) for n in names})
@@ -351,7 +423,20 @@ def context_windows(spark, sf_dir):
     return _rounded(pairs.list_features(f), *_LIST).select("q", "t", *pairs.LIST_FEATURES)
 
 
-@query()
+_ALIKE = {
+    "n_ratio": ("ratio", "qcore", "tcore"), "n_tsort": ("token_sort", "qcore", "tcore"), "n_tset": ("token_set", "qcore", "tcore"),
+    "n_partial": ("partial", "qcore", "tcore"), "n_jw": ("jaro_winkler", "qcore", "tcore"), "n_nospace": ("ratio", "qclose", "tclose"),
+    "n_nospace_partial": ("partial", "qclose", "tclose"), "nm_tset": ("token_set", "qnm", "tnm"), "a_tset": ("token_set", "qa", "ta"),
+    "a_tsort": ("token_sort", "qa", "ta"), "a_partial": ("partial", "qa", "ta"), "num_tset": ("token_set", "qnums", "tnums")}
+_INDIC = r"regexp_matches(coalesce({}.raw_name, ''), '[^\x{{0}}-\x{{24F}}]')::INTEGER"
+
+
+@query(f"""WITH {BLOCK}, {_SETS}, r AS (SELECT g.*, a.core AS qcore, b.core AS tcore, replace(a.core, ' ', '') AS qclose, replace(b.core, ' ', '') AS tclose, a.nm AS qnm, b.nm AS tnm,
+  a.addr AS qa, b.addr AS ta, a.nums AS qnums, b.nums AS tnums, {_INDIC.format('b')} AS t_indic, b.lm AS t_lm, a.lm AS q_lm FROM g JOIN prep a ON a.id = q JOIN prep b ON b.id = t),
+{_kernels_sql('r', 'k', _ALIKE)}
+SELECT country, q, t, {', '.join(_ALIKE)}, round(1 - levenshtein(qa, ta) / greatest(length(qa), length(ta), 1), 6) AS a_lev, num_q::INTEGER AS num_q, num_t::INTEGER AS num_t,
+ num_inter::INTEGER AS num_inter, num_union::INTEGER AS num_union, num_first_eq, num_first_sub, core_q::INTEGER AS core_q, core_t::INTEGER AS core_t, core_inter::INTEGER AS core_inter,
+ core_first_eq, legal_state, a_empty, round(num_jac, 6) AS num_jac, round(core_jac, 6) AS core_jac, w, c, src::INTEGER AS src, t_indic, t_lm, q_lm FROM k""")
 def pair_features(spark, sf_dir):
     f = pairs.pair_features(pairs.with_records(*_block(spark, sf_dir)))
     return _rounded(f, "n_ratio", "n_tsort", "n_tset", "n_partial", "n_jw", "n_nospace", "n_nospace_partial", "nm_tset", "a_tset", "a_tsort", "a_partial", "a_lev", "num_tset", "num_jac", "core_jac")
@@ -401,7 +486,17 @@ def anchor_pairs(spark, sf_dir):
     return anchors.anchor_pairs(_p1(spark, sf_dir))
 
 
-@query()
+_ANCHOR_ALIKE = {"ntset": ("token_set", "o.core", "x.core"), "nns": ("ratio", "replace(o.core, ' ', '')", "replace(x.core, ' ', '')"),
+                 "atset": ("token_set", "o.addr", "x.addr"), "num": ("token_set", "o.nums", "x.nums")}
+_ANCHOR_ROWS = {n: (k, f"l_{n}", f"r_{n}") for n, (k, _, _) in _ANCHOR_ALIKE.items()}
+
+
+@query(f"""WITH {BLOCK}, {_ANCHOR}, y AS (SELECT anc.*, {', '.join(f"coalesce({a}, '') AS l_{n}, coalesce({b}, '') AS r_{n}" for n, (_, a, b) in _ANCHOR_ALIKE.items())}
+  FROM anc JOIN prep o ON o.id = anc.t JOIN prep x ON x.id = aid), {_kernels_sql('y', 'z', _ANCHOR_ROWS)},
+v AS (SELECT q, t, {', '.join(f"max(CASE WHEN k = {k} THEN {v} END) AS anc{k}_{n}" for k in (1, 2) for n, v in [('p', 'ap'), ('same', '(asrc = src)::INTEGER'), *((m, m) for m in _ANCHOR_ALIKE)])}
+  FROM z GROUP BY q, t)
+SELECT p1.q, p1.t, (row_number() OVER (PARTITION BY p1.q ORDER BY p1 DESC, p1.t) = 1)::INTEGER AS t_is_top,
+ {', '.join(f'coalesce({f}, -1) AS {f}' for f in anchors.FEATURES[1:])} FROM p1 LEFT JOIN v ON v.q = p1.q AND v.t = p1.t""")
 def anchor_features(spark, sf_dir):
     df = _records(spark, sf_dir)
     out = anchors.anchor_features(_p1(spark, sf_dir).select("q", "t", "src", "p1"), df.where("src <> '1'"))
@@ -417,22 +512,26 @@ def exclusive_threshold(spark, sf_dir):
 _CONV = "list_reduce({0}, lambda d, x: list_transform(range(1, len(d) + 2), lambda i: coalesce(d[i], 0) * (1 - x[1]) + CASE WHEN i > 1 THEN d[i - 1] ELSE 0 END * x[1]), [1.0::DOUBLE])"
 
 
-@query(f"""WITH {BLOCK}, l AS (SELECT q, list([p1] ORDER BY p1 DESC, t) AS p FROM (SELECT q, t, p1, row_number() OVER (PARTITION BY q ORDER BY p1 DESC, t) AS r FROM p1 QUALIFY r <= 6) GROUP BY q)
+@query(f"""WITH {BLOCK}, l AS (SELECT q, list([p1] ORDER BY p1 DESC, t) AS p FROM p1 GROUP BY q)
 SELECT q, k - 1 AS n_true, round(d[k], 6) AS prob FROM (SELECT q, {_CONV.format('p')} AS d, unnest(range(1, len(p) + 2)) AS k FROM l)""")
 def poisson_binomial(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = Window.partitionBy("q").orderBy(F.desc("p1"), "t")
-    d = _p1(spark, sf_dir).withColumn("r", F.row_number().over(top)).where("r <= 6")
-    lists = d.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "p1"))), lambda x: x["p1"]).alias("p"))
+    rows = _p1(spark, sf_dir).groupBy("q").agg(F.array_sort(F.collect_list(F.struct((-F.col("p1")).alias("o"), "t"))).alias("l"))
+    lists = rows.select("q", F.transform("l", lambda x: -x["o"]).alias("p"))
     return lists.select("q", F.posexplode(decode.poisson_binomial_column(F.col("p"))).alias("n_true", "prob")).select(
         "q", F.col("n_true").cast("bigint").alias("n_true"), F.round("prob", 6).alias("prob"))
 
 
-_DECODE = f"""own AS (SELECT q, t, p1 AS p FROM p1 QUALIFY row_number() OVER (PARTITION BY t ORDER BY p1 DESC, q) = 1), ord AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, t) AS r FROM own WHERE p >= 0.01),
-l AS (SELECT q, list([p] ORDER BY r) AS p, count(*) AS n FROM ord GROUP BY q), e AS (SELECT q, n, k, {_CONV.format('p[1:k]')} AS a, {_CONV.format('p[k + 1:]')} AS b FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM l)),
-v AS (SELECT q, k, CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(range(1, k + 1), lambda x: list_sum(list_transform(range(0, n - k + 1), lambda y: a[x + 1] * b[y + 1] * 1.25 * x / (0.25 * (x + y) + k))))) END AS ef FROM e),
-best AS (SELECT q, arg_max(k, (round(ef, 12), -k)) AS k FROM v GROUP BY q), dec AS (SELECT ord.q, t, p FROM ord JOIN best ON best.q = ord.q AND r <= k)"""
+def _decode_sql(source: str, p: str, out: str) -> str:
+    """CTEs from {source}(q, t, {p}) to the matches {out}(q, t, p)."""
+    return f"""{out}1 AS (SELECT q, t, {p} AS p FROM {source} QUALIFY row_number() OVER (PARTITION BY t ORDER BY {p} DESC, q) = 1),
+{out}2 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY p DESC, t) AS r FROM {out}1 WHERE p >= 0.01), {out}3 AS (SELECT q, list([p] ORDER BY r) AS p, count(*) AS n FROM {out}2 GROUP BY q),
+{out}4 AS (SELECT q, n, k, {_CONV.format('p[1:k]')} AS a, {_CONV.format('p[k + 1:]')} AS b FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM {out}3)),
+{out}5 AS (SELECT q, k, CASE WHEN k = 0 THEN b[1] ELSE list_sum(list_transform(range(1, k + 1), lambda x: list_sum(list_transform(range(0, n - k + 1),
+   lambda y: a[x + 1] * b[y + 1] * 1.25 * x / (0.25 * (x + y) + k))))) END AS ef FROM {out}4),
+{out}6 AS (SELECT q, arg_max(k, (round(ef, 12), -k)) AS k FROM {out}5 GROUP BY q), {out} AS (SELECT o.q, t, p FROM {out}2 o JOIN {out}6 b ON b.q = o.q AND r <= b.k)"""
+
+
+_DECODE = _decode_sql("p1", "p1", "dec")
 
 
 @query(f"WITH {BLOCK}, {_DECODE} SELECT q, t, p FROM dec")
@@ -440,6 +539,11 @@ def expected_f_decode(spark, sf_dir):
     return decode.decode(_p1(spark, sf_dir), "p1")
 
 
+@query(f"WITH {BLOCK}, sharp AS (SELECT q, t, pow(p1, 1.5) AS ps FROM p1), {_decode_sql('sharp', 'ps', 'dec')} SELECT q, t, round(p, 6) AS p FROM dec")
+def power_decode(spark, sf_dir):
+    return _rounded(decode.decode(_p1(spark, sf_dir), "p1", power=1.5), "p")
+
+
 @query(f"""WITH {BLOCK}, ex AS (SELECT q, t FROM p1 QUALIFY p1 = max(p1) OVER (PARTITION BY t) AND p1 > 0.5), m AS (SELECT id AS q, (SELECT count(*) FROM ex WHERE ex.q = id) AS k,
  (SELECT count(*) FROM truth WHERE truth.q = id) AS n_true, (SELECT count(*) FROM ex JOIN truth USING (q, t) WHERE ex.q = id) AS tp FROM prep WHERE src = '1')
 SELECT q, tp, k, n_true, round(CASE WHEN k = 0 AND n_true = 0 THEN 1 ELSE 1.25 * tp / (0.25 * n_true + k) END, 6) AS f FROM m""")
@@ -474,7 +578,19 @@ def shift_rates(spark, sf_dir):
     return _rounded(shift.rates(_cats(spark, sf_dir)), "rate")
 
 
-@query()
+def _shift_sql(rounds: int = 3) -> str:
+    """CTEs that take half the first rates as reference and scale ``cats`` to them, as ``s0`` to ``s{rounds}``."""
+    out = ["s0 AS MATERIALIZED (SELECT q, t, p, cat FROM cats)", "w0 AS (SELECT DISTINCT cat, 1.0::DOUBLE AS w FROM cats)"]
+    for i in range(rounds):
+        out.append(_decode_sql(f"s{i}", "p", f"m{i}"))
+        out.append(f"r{i} AS MATERIALIZED (SELECT cat, count(*)::DOUBLE / (SELECT count(DISTINCT q) FROM cats) AS rate FROM m{i} JOIN s{i} USING (q, t) GROUP BY cat)")
+        out.append(f"w{i + 1} AS MATERIALIZED (SELECT cat, CASE WHEN starts_with(cat, 'base') OR r.rate IS NULL THEN w ELSE w * least(1.0, coalesce(h.rate / 2, 0) / r.rate) END AS w "
+                   f"FROM w{i} LEFT JOIN r{i} r USING (cat) LEFT JOIN r0 h USING (cat))")
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT q, t, p * w AS p, cat FROM cats JOIN w{i + 1} USING (cat))")
+    return ", ".join(out)
+
+
+@query(f"WITH {BLOCK}, {_CATS}, {_shift_sql()}, {_decode_sql('s3', 'p', 'fin')} SELECT q, t, round(p, 6) AS p FROM fin")
 def shift_corrected(spark, sf_dir):
     d = _cats(spark, sf_dir)
     fixed, _ = shift.correct(d, {k: v / 2 for k, v in shift.rate_map(d).items()})

@@ -68,12 +68,22 @@ def weights(docs: DataFrame, max_df: float = MAX_DF, min_cap: int = MIN_CAP) ->
     return long.select("part", "side", "id", "feature", (F.col("idf") / norm).alias("w"))
 
 
-def pair_scores(w: DataFrame) -> DataFrame:
-    """Cosine of every query and target that share a feature: ``part, q, t, score``."""
+def shared_features(w: DataFrame, name: str = "x") -> DataFrame:
+    """``part, q, t, <name>``: a row for each feature that a query and a target share, with the weights' product."""
     left = w.where("side = 'q'").select("part", "feature", F.col("id").alias("q"), F.col("w").alias("wq"))
     right = w.where("side = 't'").select("part", "feature", F.col("id").alias("t"), F.col("w").alias("wt"))
-    both = left.join(right, ["part", "feature"])
-    return both.groupBy("part", "q", "t").agg(F.round(F.sum(F.col("wq") * F.col("wt")), DIGITS).alias("score"))
+    return left.join(right, ["part", "feature"]).select("part", "q", "t", (F.col("wq") * F.col("wt")).alias(name))
+
+
+def summed(products: DataFrame, *names: str) -> DataFrame:
+    """Cosines by (part, q, t). Dealt by query once: sums, and ranks within a query after them, need no other
+    shuffle. The products of one pair come from different tasks, so adding them up before would save little."""
+    return products.repartition("part", "q").groupBy("part", "q", "t").agg(*[F.round(F.sum(n), DIGITS).alias(n) for n in names])
+
+
+def pair_scores(w: DataFrame) -> DataFrame:
+    """Cosine of every query and target that share a feature: ``part, q, t, score``."""
+    return summed(shared_features(w, "score"), "score")
 
 
 def top_k(scores: DataFrame, k: int, thr: float) -> DataFrame:
@@ -86,19 +96,24 @@ def topk_join(docs: DataFrame, k: int, thr: float, max_df: float = MAX_DF, min_c
     return top_k(pair_scores(weights(docs, max_df, min_cap)), k, thr)
 
 
+def topk_others(docs: DataFrame, k: int, thr: float, max_df: float = MAX_DF, min_cap: int = MIN_CAP) -> DataFrame:
+    """The same where queries are among the targets: a document is not its own match."""
+    return top_k(pair_scores(weights(docs, max_df, min_cap)).where("q <> t"), k, thr)
+
+
 def two_views(word: DataFrame, char: DataFrame, k_word: int, k_char: int, thr_word: float, thr_char: float) -> DataFrame:
-    """Union of both views' top lists with both exact scores: ``part, q, t, w, c``.
+    """Union of both views' top lists with both exact scores, ``part, q, t, w, c``, from their weights.
 
-    The views meet before truncation, so the score that one view lacks is at hand; no second look-up join.
+    Products of both views go through one sum, so a pair has both scores at once: no join of the views, and one
+    shuffle for sums and ranks together.
     """
-    def ranked(s: DataFrame, name: str, thr: float) -> DataFrame:
-        order = Window.partitionBy("part", "q").orderBy(F.desc("score"), "t")
-        s = s.withColumn("_r", F.row_number().over(order))
-        return s.select("part", "q", "t", F.col("score").alias(name), F.when(F.col("score") > thr, F.col("_r")).alias(f"r_{name}"))
-
-    both = ranked(word, "w", thr_word).join(ranked(char, "c", thr_char), ["part", "q", "t"], "full")
-    both = both.where((F.col("r_w") <= k_word) | (F.col("r_c") <= k_char))
-    return both.select("part", "q", "t", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("c", F.lit(0.0)).alias("c"))
+    zero = F.lit(0.0)
+    both = shared_features(word, "w").withColumn("c", zero).unionByName(shared_features(char, "c").withColumn("w", zero))
+    both = summed(both, "w", "c").where((F.col("w") > thr_word) | (F.col("c") > thr_char))
+    rank = {n: F.row_number().over(Window.partitionBy("part", "q").orderBy(F.desc(n), "t")) for n in "wc"}
+    both = both.withColumns({"_rw": rank["w"], "_rc": rank["c"]})
+    both = both.where((F.col("w") > thr_word) & (F.col("_rw") <= k_word) | (F.col("c") > thr_char) & (F.col("_rc") <= k_char))
+    return both.select("part", "q", "t", "w", "c")
 
 
 def search_docs(s1: DataFrame, targets: DataFrame, features: Column) -> DataFrame:
@@ -112,7 +127,7 @@ def search_docs(s1: DataFrame, targets: DataFrame, features: Column) -> DataFram
 
 def block(s1: DataFrame, targets: DataFrame, k_word=24, k_char=12, thr_word=0.05, thr_char=0.2, max_df=MAX_DF, min_cap=MIN_CAP) -> DataFrame:
     """Candidate pairs ``country, src, q, t, w, c``; candidates never cross countries or sources."""
-    word = pair_scores(weights(search_docs(s1, targets, word_features(F.col("core"), F.col("addr"))), max_df, min_cap))
-    char = pair_scores(weights(search_docs(s1, targets, char_features(F.col("core"))), max_df, min_cap))
+    word = weights(search_docs(s1, targets, word_features(F.col("core"), F.col("addr"))), max_df, min_cap)
+    char = weights(search_docs(s1, targets, char_features(F.col("core"))), max_df, min_cap)
     found = two_views(word, char, k_word, k_char, thr_word, thr_char)
     return found.select(F.expr("left(part, length(part) - 2)").alias("country"), F.expr("right(part, 1)").alias("src"), "q", "t", "w", "c")

@@ -9,7 +9,6 @@ import pytest
 from linkforge import catalog
 
 SF = "/root/testdata/sf0.001"
-FAST = [k for k in catalog.SQL if k not in ("topk_cosine_docs", "linked_documents", "df_cap_features")]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def plain(v):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are absent")
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", list(catalog.SQL))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     columns = sorted(df.columns)
