@@ -61,6 +61,7 @@ def _classed(docs: DataFrame, id_col: str, text: str, hash_of, stages: Stages, w
         return rows.withColumn("_class", F.lit(0))
     found = texts.join(many, "_h", "left_semi").groupBy("_h").agg(F.array_sort(F.collect_set("_norm")).alias("_all"))
     found = stages.put(found.select("_h", F.posexplode("_all").alias("_class", "_norm")))
+    stages.free(many)
     side = F.broadcast(found) if found.count() <= COLLIDED_ROWS_BROADCAST else found
     return rows.join(side, ["_h", "_norm"], "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib.util
+import math
 import random
 import re
 
@@ -57,8 +58,8 @@ def test_empty_tables(spark, docs):
         assert out.count() == 0
 
 
-def test_jaccard_against_brute_force(docs):
-    rows = raw(docs)
+def plain_components(rows):
+    """(id, set size, smallest id of the component) of each row, from all pairs."""
     sets = [set(map(int, jaccard.shingle_set(t))) for _, t in rows]
     comp = list(range(len(rows)))
     def find(i):
@@ -73,11 +74,48 @@ def test_jaccard_against_brute_force(docs):
     names: dict = {}
     for i, (d, _) in enumerate(rows):
         names.setdefault(find(i), []).append(d)
-    want = sorted(str((d, len(sets[i]), min((x for x in names[find(i)] if x is not None), default=None) if sets[i] else d)) for i, (d, _) in enumerate(rows))
+    return [(d, len(sets[i]), min((x for x in names[find(i)] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)]
+
+
+def test_jaccard_against_brute_force(docs):
+    want = sorted(map(str, plain_components(raw(docs))))
     got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard.join(docs).collect())
     assert got == want
 
 
+@pytest.mark.parametrize("partitions", ["4", "211"])
+def test_jaccard_families_against_brute_force(spark, partitions):
+    """Families of short texts whose pairs lie around the threshold, chained, beside passages that many texts share."""
+    r = random.Random(17)
+    rows = []
+    for f in range(25):
+        base = [f"f{f}w{k}" for k in range(r.randint(10, 60))]
+        for _ in range(r.randint(2, 8)):
+            own = list(base)
+            for _ in range(r.randint(0, 4)):
+                cut = r.choice(["head", "tail", "swap", "add"])
+                if cut == "head":
+                    own = own[r.randint(0, 2):]
+                elif cut == "tail":
+                    own = own[:len(own) - r.randint(0, 2)]
+                elif cut == "add":
+                    own = [*own, f"a{r.random()}"]
+                else:
+                    own[r.randrange(len(own))] = f"s{r.random()}"
+            rows.append(" ".join(own))
+            base = own if r.random() < 0.5 else base
+        rows += [" ".join([f"x{r.random()}" for _ in range(40)] + base[:r.randint(5, 9)]) for _ in range(6)]
+    r.shuffle(rows)
+    rows = list(enumerate(rows))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = sorted(map(tuple, jaccard.join(table(spark, [(i, t, "s") for i, t in rows])).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == sorted(plain_components(rows))
+
+
 def test_jaccard_bound_in_groups_of_mixed_sizes(spark):
     """qualified() keeps every pair that shares as few prefix shingles as some size in the group needs."""
     def least(n, m):
@@ -188,7 +226,7 @@ def test_quality_keeps_columns(docs):
 
 
 def plain_quality(texts):
-    """(base_failed, kept) of each text, by counting lines and contexts in dicts."""
+    """(base_failed, kept, text without failing lines) of each text, by counting lines and contexts in dicts."""
     words = lambda t: re.findall(r"[^\x20\x09-\x0d]+", t)
     lines = [[" ".join(words(x)) for x in (t or "").split("\n") if len(words(x)) >= 4] for t in texts]
     key = lambda line: quality.line_key(line.encode().split())
@@ -215,7 +253,8 @@ def plain_quality(texts):
         again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
         base = len(w) < 50 or 100 * len(again) > 50 * len(w)
         lost = sum(len(words(x)) for x in (t or "").split("\n") if fails(x, t))
-        out.append((base, not base and 2 * lost <= len(w)))
+        rest = "\n".join(x for x in (t or "").split("\n") if not fails(x, t))
+        out.append((base, not base and 2 * lost <= len(w), rest))
     return out
 
 
@@ -230,7 +269,7 @@ def test_quality_against_plain_version(spark, monkeypatch):
     texts += ["\n".join([*family[:i % 6], line(15), *family[i % 6 + 1:]]) for i in range(30)]
     texts += [f"{line(40)}\n" + " | ".join(words(60)), f"{line(60)}\n" + " | ".join(words(20)), " ".join(words(80)), f"{line(60)}\n" + "$$$ ".join(words(50))]
     d = table(spark, [(i, t, "s") for i, t in enumerate(texts)])
-    want = plain_quality(texts)
+    want = [x[:2] for x in plain_quality(texts)]
     assert len(set(want)) == 3 and quality.mine_lines(d).count() == 2
     for most in (quality.BROADCAST_LINES, 0):
         monkeypatch.setattr(quality, "BROADCAST_LINES", most)
@@ -257,7 +296,7 @@ def test_packing_whole(docs):
 
 
 def plain_pack(rows, capacity):
-    """(id, piece) of each bin of one shard: (id, source, size, cluster) rows packed by looking at every bin."""
+    """(id, piece) of the bins of one shard, as a sorted list: (id, source, size, cluster) rows packed by looking at every bin."""
     pieces = []
     for d, source, size, cluster in rows:
         pieces += [(min(capacity, size - k * capacity), d, k, source, cluster) for k in range(-(-size // capacity))]
@@ -270,7 +309,7 @@ def plain_pack(rows, capacity):
         b = min(fits, key=lambda b: b["room"])
         b["room"] -= size
         b["source"].add(source), b["cluster"].add(cluster), b["held"].append((d, k))
-    return {frozenset(b["held"]) for b in bins}
+    return sorted(sorted(b["held"]) for b in bins)
 
 
 def test_packing_against_plain_version(spark):
@@ -278,10 +317,14 @@ def test_packing_against_plain_version(spark):
     r = random.Random(3)
     rows = [(i, f"s{r.randrange(30)}", r.choice([0, 1, 7, 30, 64, 65, 300, r.randrange(128)]), f"c{r.randrange(90)}") for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, source string, n int, c string").withColumn("text", F.lit(None).cast("string"))
+    assert bins_of(packing.pack(d, size=F.col("n"), cluster=F.col("c"), capacity=128)) == plain_pack(rows, 128)
+
+
+def bins_of(packed):
     bins: dict = {}
-    for x in packing.pack(d, size=F.col("n"), cluster=F.col("c"), capacity=128).collect():
-        bins.setdefault(x.bin_id, set()).add((x.doc_id, x.piece))
-    assert {frozenset(b) for b in bins.values()} == plain_pack(rows, 128)
+    for x in packed.collect():
+        bins.setdefault(x.bin_id, []).append((x.doc_id, x.piece))
+    return sorted(map(sorted, bins.values()))
 
 
 def test_tokens_rows(docs, monkeypatch):
@@ -471,29 +514,60 @@ def test_warc_files(spark, tmp_path):
     assert {(r.page_id, r.html) for r in back.collect()} == {(i, h or "") for i, _, h in rows}
 
 
+def plain_pipeline(rows):
+    """The bins of the whole pipeline, in one process: (id, text, source) rows through all five stages."""
+    cleaned = plain_quality([t for _, t, _ in rows])
+    rows = [(d, rest, s) for (d, _, s), (_, kept, rest) in zip(rows, cleaned) if kept]
+    best: dict = {}
+    for d, t, s in rows:
+        k = "".join(t.split())
+        best[k] = min(best.get(k, (0, d, t, s)), (-len(t), d, t, s))
+    rows = sorted((d, t, s) for _, d, t, s in best.values())
+    names = {d: c for d, _, c in plain_components([(d, t) for d, t, _ in rows])}
+    rows = [x for x in rows if names[x[0]] == x[0]]
+    mass: dict = {}
+    for _, t, s in rows:
+        mass[s] = mass.get(s, 0) + len(t)
+    listed = {s: w for s, w in mixing.WEIGHTS.items() if s in mass}
+    copies = []
+    for d, t, s in rows:
+        share = listed.get(s, (1 - sum(mixing.WEIGHTS.values())) / max(1, len(mass) - len(listed)))
+        rate = share * sum(mass.values()) / mass[s]
+        u = int(hashlib.md5(f"{mixing.SEED}:{d}:1".encode()).hexdigest()[:13], 16) / 2 ** 52
+        n, term = 0, math.exp(-rate)
+        cdf = term
+        while u >= cdf:
+            n += 1
+            term *= rate / n
+            cdf += term
+        copies += [(d, t, s)] * n
+    encode = tokens.counter(tokens.vocabulary()).tokenizer.encode
+    sized = [(d, s, len(encode(t, add_special_tokens=False).ids), "".join(t.split())) for d, t, s in copies]
+    return plain_pack(sized, packing.CAPACITY)
+
+
 @pytest.mark.skipif(not importlib.util.find_spec("corpus_pipeline"), reason="no pipeline")
 def test_pipeline(spark, tmp_path):
-    """run() against the stages done plainly, one after the other."""
+    """run() against the plain version, and each stage's columns and decisions."""
     import corpus_pipeline
 
     names = "doc_id text lang source n_chars".split()
-    prose = [[R.choice(VOCAB) for _ in range(90)] for _ in range(60)]
+    r = random.Random(12)
+    prose = [[r.choice(VOCAB) for _ in range(90)] for _ in range(60)]
+    notice = "This notice stands below very many stories."
     rows = [(i, " ".join(p), "en", f"src{i % 4}", 0) for i, p in enumerate(prose)]
     rows += [(100, "  ".join(prose[0]), "en", "src0", 0), (101, " ".join(prose[1][:-1]), "en", "src1", 0), (102, "junk", "en", "src0", 0), (103, None, "en", None, 0)]
+    rows += [(200 + i, " ".join(r.choice(VOCAB) for _ in range(300 * (i % 9) + 60)) + f".\n{notice}", "en", f"src{i % 5}", 0) for i in range(30)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     stage = dict(corpus_pipeline.STAGES)
+    assert list(stage)[2] == "n-gram Jaccard join" and len(stage) == 5
     a = stage["quality rules"](spark, d, str(tmp_path))
-    assert a.columns == names and {r.doc_id for r in a.collect()} == {*range(60), 100, 101}
+    assert a.columns == names and {x.doc_id for x in a.collect()} == {*range(60), 100, 101, *range(200, 230)}
+    assert a.where(F.col("text").contains("notice")).count() == 0
     b = stage["exact dedup"](spark, a, str(tmp_path))
-    assert b.columns == names and {r.doc_id for r in b.collect()} == {*range(1, 60), 100, 101}
+    assert b.columns == names and {x.doc_id for x in b.collect()} == {*range(1, 60), 100, 101, *range(200, 230)}
     c = stage["n-gram Jaccard join"](spark, b, str(tmp_path))
-    assert c.columns == names and {r.doc_id for r in c.collect()} == {*range(1, 60), 100}
-    e = stage["mixing to target weights"](spark, c, str(tmp_path))
-    n = {r.doc_id: r["count"] for r in e.groupBy("doc_id").count().collect()}
-    assert e.columns == names
-    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    got: dict = {}
-    for r in out:
-        got[r.doc_id] = got.get(r.doc_id, 0) + 1
-    assert got == n
+    assert c.columns == names and {x.doc_id for x in c.collect()} == {*range(1, 60), 100, *range(200, 230)}
+    assert stage["mixing to target weights"](spark, c, str(tmp_path)).columns == names
+    assert bins_of(corpus_pipeline.run(spark, str(tmp_path))) == plain_pipeline([(i, t, s) for i, t, _, s, _ in rows])
