@@ -42,13 +42,20 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``."""
+    """Applies all stages to ``documents``. A stage's table goes when the next one is written; packing reads its
+    texts before it returns."""
     stages = Stages(spark)
     docs = read_table(spark, sf_dir, "documents")
+    held = None
     for _, stage in STAGES[:-1]:
         docs = stages.put(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if held is not None:
+            stages.free(held)
+        held = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    stages.free(held)
+    return out
 
 
 ORACLE_SQL = None
-"""Line rules and packing have no SQL form; tests hold run() against a plain single-process version."""
+"""Line rules and packing have no SQL form; a test holds run() against a plain single-process version."""
