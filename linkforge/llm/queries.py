@@ -57,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": jaccard.ORACLE, "op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_suffix_array_dedup": suffix_dedup.ORACLE, "op7_warc_fixity": warc.ORACLE}
+    return {"op1_ngram_jaccard_join": jaccard.ORACLE, "op2_url_filters": url_filter.ORACLE, "op3_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op6_suffix_array_dedup": suffix_dedup.ORACLE, "op7_warc_fixity": warc.ORACLE}

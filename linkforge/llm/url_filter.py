@@ -126,3 +126,28 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, page_id="page_id", u
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "_v": verdict}).join(blocked, F.col("_u") == F.col("_url"), "left")
     return rows.select(page_id, "host", "path", "rule", F.coalesce("_v", F.when(F.col("_url").isNotNull(), "block").otherwise("allow")).alias("verdict"))
+
+
+def _oracle() -> str:
+    """DuckDB twin: every set of a labelled url's frequent tokens is counted, which needs no FP-growth."""
+    cases = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{{}}'" for _, h, p in cases)
+    rule, verdict = fits.format(*[h + p for _, h, p in cases]), fits.format(*[k for k, _, _ in cases])
+    return rf"""
+WITH s AS (SELECT page_id, url, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, lower(coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(.*)$', 1), '')) AS rest FROM pages),
+u AS (SELECT page_id, url, host, path, list_distinct(list_concat(list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+  list_transform(list_filter(regexp_split_to_array(rest, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '' AND NOT regexp_matches(x, '^\p{{N}}+$')), lambda x: 'p:' || x))) AS items FROM s),
+b AS (SELECT doc_id, max((quality = 0 OR toxic = 1)::INTEGER) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+k AS (SELECT row_number() OVER () AS r, coalesce(bad, 0) AS bad, items FROM u JOIN b ON doc_id = page_id WHERE bad = 1 OR len(items) > 0),
+n AS (SELECT count(*)::DOUBLE AS n, sum(bad)::DOUBLE AS bads, least(1.0, greatest({MIN_SUPPORT}::DOUBLE, {MIN_ROWS}::DOUBLE / count(*)::DOUBLE)) AS support FROM k),
+f AS (SELECT x FROM (SELECT r, bad, unnest(items) AS x FROM k), n GROUP BY x, n.n, support HAVING sum(bad) >= ceil(support * n.n - 1e-9)),
+t AS (SELECT r, any_value(bad) AS bad, list(x ORDER BY x) AS items FROM (SELECT r, bad, unnest(items) AS x FROM k) SEMI JOIN f USING (x) GROUP BY r),
+sets AS (SELECT list_filter(items, lambda x, i: (m >> (i - 1)) & 1 = 1) AS need, bad FROM (SELECT *, unnest(range(1, (1 << len(items))::BIGINT)) AS m FROM t)),
+rules AS (SELECT need FROM sets, n GROUP BY need, n.n, bads, support HAVING sum(bad) >= ceil(support * n.n) AND sum(bad) / count(*) >= {MIN_CONFIDENCE} AND sum(bad) / count(*) / (bads / n.n) >= {MIN_LIFT})
+SELECT page_id, host, path, CASE {rule} END AS rule,
+  coalesce(CASE {verdict} END, CASE WHEN EXISTS (SELECT 1 FROM rules WHERE list_has_all(u.items, need)) THEN 'block' ELSE 'allow' END) AS verdict FROM u
+"""
+
+
+ORACLE = _oracle()

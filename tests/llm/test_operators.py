@@ -363,6 +363,52 @@ def test_url_mining(spark):
     assert {i for i, v in got.items() if v == "block"} == {i for i in range(400) if i % 4 == 0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_url_mining_against_every_token_set(spark, seed):
+    """Rules from all sets of tokens, counted one by one, and the DuckDB twin; some token pairs go with bad labels."""
+    import itertools
+
+    import duckdb
+    import pandas as pd
+
+    r = random.Random(seed)
+    rows, labels = [], []
+    for i in range(500):
+        path = sorted(r.sample("buy now free news read more sport art".split(), r.randint(0, 4)))
+        rows.append((i, r.choice([None, "x"] + ["https://a%d.example.org/%s/%d" % (r.randrange(4), "/".join(path), i)] * 20), ""))
+        likely = 0.9 if {"buy", "now"} <= set(path) else 0.7 if "free" in path else 0.1
+        labels.append((i if r.random() < 0.8 else None, int(r.random() > likely), 0))
+    bad = {d: q == 0 for d, q, _ in labels if d is not None}
+    def items(url):
+        if not url or "://" not in url:
+            return frozenset()
+        host, _, rest = url.split("://")[1].partition("/")
+        return frozenset([f"h:{x}" for x in host.split(".")] + [f"p:{x}" for x in re.split("[^a-z0-9]+", rest) if x and not x.isdigit()])
+    known = [(items(u), bad[i]) for i, u, _ in rows if i in bad and (bad[i] or items(u))]
+    least = math.ceil(min(1.0, max(url_filter.MIN_SUPPORT, url_filter.MIN_ROWS / len(known))) * len(known))
+    counts: dict = {}
+    for own, b in known:
+        for k in range(1, len(own) + 1):
+            for c in itertools.combinations(sorted(own), k):
+                n = counts.setdefault(c, [0, 0])
+                n[0] += 1
+                n[1] += b
+    base = sum(b for _, b in known) / len(known)
+    found = [set(c) for c, (n, b) in counts.items() if b >= least and b / n >= url_filter.MIN_CONFIDENCE and b / n / base >= url_filter.MIN_LIFT]
+    want = {i: "block" if any(c <= items(u) for c in found) else "allow" for i, u, _ in rows}
+    assert set(want.values()) == {"allow", "block"}
+    pages, known_labels = pages_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, known_labels).collect()
+    assert {x.page_id: x.verdict for x in got} == want
+    con = duckdb.connect()
+    con.register("p", pd.DataFrame(rows, columns=["page_id", "url", "html"]))
+    con.register("l", pd.DataFrame(labels, columns=["doc_id", "quality", "toxic"]))
+    con.execute("CREATE VIEW pages AS SELECT page_id, url FROM p")
+    con.execute("CREATE VIEW labels AS SELECT doc_id::BIGINT AS doc_id, quality, toxic FROM l")
+    twin = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({url_filter.ORACLE})").fetchall()
+    assert sorted(map(str, twin)) == sorted(str((x.page_id, x.host, x.path, x.rule, x.verdict)) for x in got)
+
+
 def test_url_mining_sees_late_tokens(spark):
     """The bad token is the 31st of its url; the 30 before it stand on all urls, which as single items would make 2 ** 30 itemsets."""
     path = "/".join(f"{'abcdefghijklmnopqrstuvwxyz'[i % 26]}{'xy'[i // 26]}" for i in range(27))
