@@ -24,6 +24,12 @@ STAGE2 = STAGE1 + ["p1"] + pairs.PROB_FEATURES
 STAGE3 = STAGE2 + anchors.FEATURES
 
 
+def narrow(f: DataFrame) -> DataFrame:
+    """Features as they are stored: single precision, and counts as 32-bit numbers."""
+    kinds = {"double": "float", "bigint": "int"}
+    return f.select(*[F.col(c).cast(kinds.get(t, t)).alias(c) for c, t in f.dtypes])
+
+
 class Linkage:
     def __init__(self, spark: SparkSession, config: LinkConfig | None = None, **model):
         self.spark, self.c, self.model = spark, config or LinkConfig.from_env(), model
@@ -51,8 +57,10 @@ class Linkage:
             every = raw if every is None else every.unionByName(raw)
         return self.put(every, f"records_{split}", "src")
 
-    def records(self, split: str, rewritten: bool = True) -> DataFrame:
-        df = self.get(f"records_{split}").withColumn("src", F.col("src").cast("string"))
+    def records(self, split: str, rewritten: bool = True, countries: list[str] | None = None) -> DataFrame:
+        """Records of a split; the condition on countries reaches the scan."""
+        df = tables.read_columns(self.spark, self.path(f"records_{split}"), where=F.col("country").isin(countries) if countries else None)
+        df = df.withColumn("src", F.col("src").cast("string"))
         return rules.rewrite(df, self.maps()) if rewritten else df
 
     def maps(self) -> dict:
@@ -85,7 +93,7 @@ class Linkage:
         s1, targets = self.sides(split)
         found = block(s1, targets, c.k_word, c.k_char, c.thr_word, c.thr_char, c.max_df, c.min_df_cap)
         f = pairs.list_features(pairs.pair_features(pairs.with_records(found, s1, targets)))
-        return self.put(uniqueness.enrich(f, *uniqueness.uniqueness(s1, targets)), f"candidates_{split}", "country")
+        return self.put(narrow(uniqueness.enrich(f, *uniqueness.uniqueness(s1, targets))), f"candidates_{split}", "country")
 
     def labelled(self) -> DataFrame:
         return learn.with_labels(self.get("candidates_train"), self.truth()).withColumn("fold", hash100(F.col("q")))
@@ -99,13 +107,22 @@ class Linkage:
         model.write().overwrite().save(self.path(name))
         return model
 
+    def _report(self, model: PipelineModel, train: DataFrame, valid: DataFrame, name: str) -> None:
+        """Rows and matches that a model saw, and what its features are worth: ``report_<name>``, ``gain_<name>``."""
+        count = [F.count(F.lit(1)).alias("n"), F.sum("y").alias("matches")]
+        rows = {k: df.agg(*count).first() for k, df in (("train", train), ("valid", valid))}
+        tables.write_json(self.spark, {k: {"rows": r.n, "matches": r.matches or 0} for k, r in rows.items()}, self.path(f"report_{name}"))
+        self.put(learn.importances(model), f"gain_{name}")
+
     def load(self, name: str) -> PipelineModel:
         return PipelineModel.load(self.path(name))
 
     def train(self, train_folds: int = 12, valid_folds: int = 6) -> dict:
         f = self.labelled()
-        m = self._save(learn.fit(f.where(F.col("fold") < train_folds), f.where(F.col("fold") >= 50 - valid_folds), BASE, **self.model), "model_base")
-        self._predict_valid(m, f.where(F.col("fold") >= 50 - valid_folds))
+        train, valid = f.where(F.col("fold") < train_folds), f.where(F.col("fold") >= 50 - valid_folds)
+        m = self._save(learn.fit(train, valid, BASE, **self.model), "model_base")
+        self._report(m, train, valid, "base")
+        self._predict_valid(m, valid)
         return self.evaluate(valid_folds)
 
     def train2(self) -> dict:
@@ -115,7 +132,9 @@ class Linkage:
         self.put(pairs.prob_context(scored.select("q", "t", "src", "p1")), "context_train")
         f = f.join(self.get("context_train"), ["q", "t", "src"], "left")
         valid = f.where(F.col("fold") >= self.valid_from)
-        m = self._save(learn.fit(f.where(F.col("fold") < c.stage2_folds), valid, STAGE2, **self.model), "model_2")
+        train = f.where(F.col("fold") < c.stage2_folds)
+        m = self._save(learn.fit(train, valid, STAGE2, **self.model), "model_2")
+        self._report(m, train, valid, "2")
         self._predict_valid(m, valid)
         return self.evaluate()
 
@@ -130,7 +149,9 @@ class Linkage:
         train, valid = f.where(F.col("fold") < c.stage3_folds), f.where(F.col("fold") >= self.valid_from)
         if extra is not None:
             train = train.select("y", *STAGE3).unionByName(extra.select("y", *STAGE3))
-        self._predict_valid(self._save(learn.fit(train, valid, STAGE3, **self.model), "model_3"), valid)
+        m = self._save(learn.fit(train, valid, STAGE3, **self.model), "model_3")
+        self._report(m, train, valid, "3")
+        self._predict_valid(m, valid)
         return self.evaluate()
 
     def _predict_valid(self, model: PipelineModel, valid: DataFrame) -> None:
@@ -184,7 +205,7 @@ class Linkage:
     # 6. rules for countries without labels
     def selftrain(self) -> DataFrame:
         wanted = [x for x in self.c.selftrain_countries.split(",") if x]
-        df = self.records("test")
+        df = self.records("test", countries=wanted)
         sure = exclusive(self.get("scores_2"), keep_ties=True).where(F.col("p") >= self.c.pseudo_p).select("country", "q", "t")
         out = self.get("rules").where("scope = 'all'")
         for country in wanted:
@@ -203,15 +224,19 @@ class Linkage:
         train = self.records("train")
         home = train.where("src = '1'").select(F.col("id").alias("q"), "country")
         known = shift.categories(va, shift.first_number(train)).join(home, "q")
-        names = sorted(r.country for r in known.select("country").distinct().collect())
-        ref = {c: shift.rate_map(known.where(F.col("country") == c)) for c in names}
+        rates = shift.rate_map(known, "country")
+        names = sorted({c for c, _ in rates})
         stand_in = self.c.shift_reference or (names[0] if names else "")
         d = self.put(shift.categories(self.get("scores_3"), shift.first_number(self.records("test"))), "shift_input")
-        out, weights = None, {}
-        for c in sorted(r.country for r in d.select("country").distinct().collect()):
-            fixed, weights[c] = shift.correct(d.where(F.col("country") == c), ref.get(c, ref.get(stand_in, {})))
-            m = decode(fixed).select("q", "t")
-            out = m if out is None else out.unionByName(m)
+        reference: dict = {}
+        for r in d.select("country").distinct().collect():
+            model = r.country if r.country in names else stand_in
+            reference |= {(r.country, cat): rate for (c, cat), rate in rates.items() if c == model}
+        fixed, found = shift.correct(d, reference, by="country")
+        weights: dict = {}
+        for (c, cat), w in found.items():
+            weights.setdefault(c, {})[cat] = w
+        out = decode(fixed).select("q", "t")
         tables.write_json(self.spark, weights, self.path("shift.json"))
         out = self.put(out, "matches")
         every = self.records("test", rewritten=False).where("src = '1'").select("id")

@@ -7,8 +7,6 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RECORD_COLUMNS = ["id", "country", "core", "nm", "legal", "addr", "nums", "lm", "indic"]
-
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """All columns as strings, no quoting, nulls as empty strings."""

@@ -50,6 +50,22 @@ def test_shift_boundaries(spark):
     assert [got[f"t{i}"] for i in range(8)] == ["d10_false", "d50_false", "d50_false", "d500_false", "d500_false", "dbig_false", "dbig_false", "base_false"]
 
 
+def test_shift_by_country_is_shift_of_each(spark):
+    import random
+
+    r = random.Random(4)
+    cats = ["base_true", "d10_true", "d50_false", "dbig_true"]
+    rows = [(c, f"{c}q{i}", f"{c}t{i}_{k}", r.random(), r.choice(cats)) for c in "AB" for i in range(60) for k in range(3)]
+    d = spark.createDataFrame(rows, "country string, q string, t string, p double, cat string")
+    goal = {(c, cat): 0.1 * (i + 1) for i, (c, cat) in enumerate((c, cat) for c in "AB" for cat in cats[:3])}
+    fixed, weights = shift.correct(d, goal, by="country")
+    for c in "AB":
+        alone, own = shift.correct(d.where(F.col("country") == c), {cat: v for (x, cat), v in goal.items() if x == c})
+        assert {cat: w for (x, cat), w in weights.items() if x == c} == pytest.approx(own) and own["dbig_true"] == 0
+        got = {x.t: x.p for x in fixed.where(F.col("country") == c).collect()}
+        assert got == pytest.approx({x.t: x.p for x in alone.collect()})
+
+
 def test_exclusive_and_decode(spark):
     d = spark.createDataFrame([("a", "x", 0.9), ("b", "x", 0.9), ("a", "y", 0.8), ("b", "z", 0.05)], "q string, t string, p double")
     assert decode.exclusive(d).where("t = 'x'").count() == 1
