@@ -17,14 +17,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is set as the checkpoint folder."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or the checkpoint folder that is set. Where
+    neither is, a temporary folder serves in local mode; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     found = spark.sparkContext._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkforge-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
