@@ -196,6 +196,12 @@ def fold_documents(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", text.beyond_latin(F.col("text")).alias("indic"), F.length(text.fold(F.col("text"))).cast("bigint").alias("n_folded"))
 
 
+@query("SELECT doc_id, md5(lower(strip_accents(replace(replace(coalesce(text, ''), 'ß', 'ss'), 'ẞ', 'ss')))) AS folded FROM documents")
+def fold_document_texts(spark, sf_dir):
+    """The folded texts themselves; the documents are in Latin script."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
+
+
 # --- rules ------------------------------------------------------------------------------------------------
 _MINE = """l AS (SELECT string_split(a.nm, ' ') AS a, string_split(b.nm, ' ') AS b FROM truth JOIN prep a ON a.id = q JOIN prep b ON b.id = t),
 occ AS (SELECT x, count(*) AS occ FROM (SELECT unnest(list_distinct(b)) AS x FROM l) GROUP BY x),
