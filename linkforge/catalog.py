@@ -254,12 +254,15 @@ def merged_rules(spark, sf_dir):
 
 
 # --- blocking ---------------------------------------------------------------------------------------------
+def _sides_of(key: str):
+    """Queries are the rows whose id is divisible by 50, targets are all rows."""
+    return F.explode(F.when(F.col(key) % 50 == 0, F.array(F.lit("q"), F.lit("t"))).otherwise(F.array(F.lit("t")))).alias("side")
+
+
 def _documents(spark, sf_dir) -> DataFrame:
-    """Queries are the documents whose id is divisible by 50, targets are all documents."""
     d = _table(spark, sf_dir, "documents")
-    side = F.explode(F.when(F.col("doc_id") % 50 == 0, F.array(F.lit("q"), F.lit("t"))).otherwise(F.array(F.lit("t")))).alias("side")
     features = blocking.word_features(F.lower(F.coalesce("text", F.lit(""))), F.lit("")).alias("features")
-    return d.select(F.coalesce("lang", F.lit("")).alias("part"), F.col("doc_id").alias("id"), features, side).select("part", "side", "id", "features")
+    return d.select(F.coalesce("lang", F.lit("")).alias("part"), F.col("doc_id").alias("id"), features, _sides_of("doc_id")).select("part", "side", "id", "features")
 
 
 _DOCS = f"""d1 AS (SELECT coalesce(lang, '') AS part, doc_id AS id,
@@ -292,13 +295,14 @@ def df_cap_features(spark, sf_dir):
     return _rounded(w.groupBy("part", "side", "id").agg(F.count(F.lit(1)).alias("n_features"), F.sum("w").alias("sum_w"), F.max("w").alias("max_w")), "sum_w", "max_w")
 
 
-@query(f"""WITH docs AS (SELECT 'all' AS part, CASE WHEN p_partkey % 5 = 0 THEN 'q' ELSE 't' END AS side, p_partkey AS id, {_char_sql("lower(p_name || p_type)")} AS features FROM part),
-{_scores_sql('docs', 'k')} SELECT part, q, t, score, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t)::INTEGER AS r FROM ks WHERE score > 0.2 QUALIFY r <= {K_CHAR}""")
+@query(f"""WITH p AS (SELECT 'all' AS part, p_partkey AS id, {_char_sql("lower(p_name || p_type)")} AS features FROM part),
+docs AS (SELECT part, 't' AS side, id, features FROM p UNION ALL SELECT part, 'q', id, features FROM p WHERE id % 50 = 0),
+{_scores_sql('docs', 'k')} SELECT part, q, t, score, row_number() OVER (PARTITION BY part, q ORDER BY score DESC, t)::INTEGER AS r FROM ks WHERE score > 0.2 AND q <> t QUALIFY r <= {K_CHAR}""")
 def char4_cosine_parts(spark, sf_dir):
     docs = _table(spark, sf_dir, "part").select(
-        F.lit("all").alias("part"), F.when(F.col("p_partkey") % 5 == 0, "q").otherwise("t").alias("side"), F.col("p_partkey").alias("id"),
+        F.lit("all").alias("part"), _sides_of("p_partkey"), F.col("p_partkey").alias("id"),
         blocking.char_features(F.lower(F.concat("p_name", "p_type"))).alias("features"))
-    return blocking.topk_join(docs, K_CHAR, 0.2)
+    return blocking.topk_others(docs, K_CHAR, 0.2)
 
 
 @query(f"WITH {BLOCK} SELECT country, src, q, t, w, c FROM cand")
