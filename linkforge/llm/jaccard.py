@@ -44,6 +44,8 @@ FREQUENT_LEAST, FREQUENT_MOST = 8, 1 << 20
 to every task, so it holds FREQUENT_MOST shingles (16 MB) at most: beyond, the threshold rises."""
 CHUNK = 4_000_000
 MEMO = 1_000_000
+ROWS = 1_000
+"""Documents whose texts and sets a worker holds at once."""
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _words: dict[bytes, int] = {}
@@ -77,6 +79,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(_mix(h))
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def needed(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
@@ -112,11 +120,15 @@ def frequent(docs: DataFrame, stages: Stages, words: int) -> tuple[np.ndarray, n
         size = 0
 
         def flush():
-            token, n = np.unique(np.concatenate(list(held.values())), return_counts=True)
-            often = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["token", "n"])
-
-        for batch in batches:
+            flat = np.concatenate(list(held.values()))
+            held.clear()
+            flat.sort()
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            n = np.diff(first, append=len(flat))
+            token, n = flat[first[n > 1]], n[n > 1]
+            return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, words)
                 if len(s):
@@ -124,7 +136,7 @@ def frequent(docs: DataFrame, stages: Stages, words: int) -> tuple[np.ndarray, n
                     size += len(s)
                 if size >= CHUNK:
                     yield flush()
-                    held, size = {}, 0
+                    size = 0
         if held:
             yield flush()
 
@@ -149,7 +161,7 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, count = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             n, sig, mh, parts = [], [], [], []
             for text in batch.column(3).to_pylist():
                 s = shingle_set(text, words)
@@ -167,7 +179,7 @@ def signatures(docs: DataFrame, often: tuple[np.ndarray, np.ndarray], words: int
                     at[at == len(token)] = 0
                     weight = np.where(token[at] == s, count[at], 0)
                     s = s[np.argsort(weight, kind="stable")]
-                parts.append(s[:take].view(np.int64))
+                parts.append(s[:take].copy().view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([
