@@ -6,9 +6,11 @@ whose text is the same on nearly all differing pages that have them are template
 Slots become content unless their place says otherwise (menus, headers, footers, sidebars, notices, adverts,
 forms, reader comments). Counts are taken over all pages.
 
-A host has a reference for each of its LAYOUTS most common layouts (tag paths of the upper levels); pages of
-other layouts are aligned with the most common one. Blocks without a partner in the reference are known by their
-tag path, so an optional block that the reference lacks can still be found to be template.
+A host has a reference for each layout (tag paths of the upper levels) that SAME_PAGES of its pages have; pages
+of rarer layouts, too few for a template, are aligned with the most common one. Blocks without a partner in the
+reference are known by their tag path, so an optional block that the reference lacks can still be found to be
+template. Besides, every block is judged by its text within its list (the like children of one folded element),
+wherever it stands there: so folding loses no block in the middle of a long list.
 
 What an element's class or id says is evidence only. It never drops the element that holds the article, words
 that tell a state (``no-sidebar``, ``menu-open``) say nothing, and inside an article only words that always name
@@ -41,8 +43,10 @@ from .url_filter import split_url
 
 SAME_SHARE, SAME_PAGES, LAYOUT_SHARE = 0.9, 8, 0.3
 """A block is template if its text is equal on SAME_SHARE of the differing pages that have it, on at least
-SAME_PAGES of them, and at least LAYOUT_SHARE of the pages of its layout have it."""
+SAME_PAGES of them, and at least LAYOUT_SHARE of the pages of its layout have it. The same holds for a text in a
+list, by the pages that have the list."""
 LAYOUTS, LAYOUT_DEPTH = 8, 3
+"""References of the LAYOUTS most common layouts go to all pages of a host, others to the pages of their layout only."""
 ENDS = (6, 3, 1, 0)
 MOST_NODES = 600
 """Of like siblings the first and last ENDS stay single; the next smaller number is taken while a folded tree has
@@ -211,13 +215,17 @@ class Outline:
             if len(members) <= MOST_NODES:
                 break
         lines = block_lines(root)
+        self.blocks = {n: digest(t) for n, t in lines.items()}
         self.hashes: list[int | None] = []
+        self.mixed: list[tuple[int, int]] = []  # (node, hash) of each block folded with others
         texts = []
-        for group in members:
+        for i, group in enumerate(members):
             found = [lines[n] for n in group if n in lines]
             texts += found
             same = found and len(found) == len(group) and all(t == found[0] for t in found)
-            self.hashes.append(digest(found[0]) if same else None)
+            self.hashes.append(self.blocks[group[0]] if same else None)
+            if not same:
+                self.mixed += sorted({(i, self.blocks[n]) for n in group if n in lines})
         self.blank = not texts
         self.sig = digest("\n".join(texts))
         paths: list[tuple] = []
@@ -389,6 +397,12 @@ def path_keys(label: list[str], up: list[int]) -> list[int]:
     return [-2 - (h & (1 << 62) - 1) for h in paths]
 
 
+def list_keys(label: list[str], up: list[int], keys: list[int]) -> list[int]:
+    """A number below -1 for each node's list: its parent's key and its tag."""
+    hashes = [digest(f"list {keys[p] if p >= 0 else ''}/{t}") for t, p in zip(label, up, strict=True)]
+    return [-2 - (h & (1 << 62) - 1) for h in hashes]
+
+
 class Wrappers:
     """References of hosts (JSON as the tables hold it), and the alignment of outlines with them."""
 
@@ -509,8 +523,9 @@ def main_root(root: Node, judge: Judge) -> Node:
     return max(some, key=lambda n: (judge.holds[n] & H1, judge.size[n])) if some else root
 
 
-def text_of(root: Node, template: set[int] = frozenset()) -> str:
-    """Blocks of the content in page order; ``template`` holds folded nodes whose own text isn't content."""
+def text_of(root: Node, template: set[Node | int] = frozenset()) -> str:
+    """Blocks of the content in page order; ``template`` holds elements, or numbers of folded nodes, whose own text
+    isn't content."""
     judge = Judge(root)
     top = main_root(root, judge)
     inside = top is not root
@@ -540,7 +555,7 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
             if n.tag in BLOCK or n is root:
                 flush()
                 todo.append((None, False))
-                fixed = n.folded in template
+                fixed = n in template or n.folded in template
             # inline elements belong to the text of their block
             todo += [(p, fixed) for p in reversed(n.parts)]
     flush()
@@ -548,63 +563,81 @@ def text_of(root: Node, template: set[int] = frozenset()) -> str:
 
 
 def outlines(rows: DataFrame) -> DataFrame:
-    """``_host, layout, key, sig, shape, hashes`` of each page that isn't blank."""
+    """``_host, _page, layout, key, sig, shape, hashes, mixed`` of each page that isn't blank."""
+    names = ["_host", "_page", "layout", "key", "sig", "shape", "hashes", "mixed"]
+    pair = pa.list_(pa.struct([("node", pa.int64()), ("hash", pa.int64())]))
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pair]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for host, known, page in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 o = Outline(parse(page))
                 if not o.blank:
-                    out.append((host, o.layout, digest(page), o.sig, o.shape, o.hashes))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
-            columns = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["_host", "layout", "key", "sig", "shape", "hashes"])
+                    mixed = [{"node": n, "hash": h} for n, h in o.mixed]
+                    out.append((host, known, o.layout, digest(page), o.sig, o.shape, o.hashes, mixed))
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    return rows.select("_host", "_html").mapInArrow(run, "_host string, layout long, key long, sig long, shape string, hashes array<long>")
+    kind = "_host string, _page string, layout long, key long, sig long, shape string, hashes array<long>, mixed array<struct<node:long,hash:long>>"
+    return rows.select("_host", "_page", "_html").mapInArrow(run, kind)
 
 
 def references(pages: DataFrame) -> DataFrame:
-    """``_host, r, layout, shape``: for each common layout of a host the page with the smallest hash, whatever
-    the order of rows."""
+    """``_host, r, layout, shape, own``: for the most common layout of a host and each that SAME_PAGES pages have, the
+    page with the smallest hash, whatever the order of rows. ``own`` is the layout if r > LAYOUTS, else null."""
     each = pages.groupBy("_host", "layout").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "shape")).alias("m"))
     each = each.withColumn("r", F.row_number().over(Window.partitionBy("_host").orderBy(F.desc("n"), "layout")))
-    return each.where((F.col("r") == 1) | (F.col("r") <= LAYOUTS) & (F.col("n") >= SAME_PAGES)).select("_host", "r", "layout", F.col("m.shape").alias("shape"))
+    own = F.when(F.col("r") > LAYOUTS, F.col("layout")).alias("own")
+    return each.where((F.col("r") == 1) | (F.col("n") >= SAME_PAGES)).select("_host", "r", "layout", F.col("m.shape").alias("shape"), own)
 
 
 def bundled(refs: DataFrame, stages: Stages, *more: str) -> DataFrame:
-    """``_bhost, _bundle``: a host's references as JSON; marked for broadcast if rows and bytes are few, else
-    joined by shuffle, where Spark splits hosts with very many pages."""
-    df = stages.put(refs.groupBy(F.col("_host").alias("_bhost")).agg(
+    """``_bhost, _bown, _bundle``: a host's references as JSON, those with ``own`` each by itself; marked for broadcast
+    if rows and bytes are few, else joined by shuffle, where Spark splits hosts with very many pages."""
+    df = stages.put(refs.groupBy(F.col("_host").alias("_bhost"), F.col("own").alias("_bown")).agg(
         F.to_json(F.collect_list(F.struct("r", "layout", "shape", *more))).alias("_bundle")))
     n, size = df.agg(F.count(F.lit(1)), F.sum(F.length("_bundle"))).first()
     return F.broadcast(df) if n <= BROADCAST_HOSTS and (size or 0) <= BROADCAST_BYTES else df
 
 
-def templates(pages: DataFrame, refs: DataFrame, known: DataFrame) -> DataFrame:
-    """``_host, r, layout, shape, same``: references with the blocks that are constant, as (node, text hash)."""
+def with_bundle(rows: DataFrame, bundles: DataFrame, rest: DataFrame | None, how: str, *by: str) -> DataFrame:
+    """``rows`` with the bundle of their host, or of their own layout where ``rest`` (*by, own) has it."""
+    if rest is None:
+        return rows.join(bundles.where("_bown is null"), F.col("_host") == F.col("_bhost"), how)
+    rows = rows.join(rest, list(by), "left")
+    return rows.join(bundles, (F.col("_host") == F.col("_bhost")) & F.col("own").eqNullSafe(F.col("_bown")), how)
+
+
+def templates(pages: DataFrame, refs: DataFrame, known: DataFrame, rest: DataFrame | None, stages: Stages) -> DataFrame:
+    """``_host, r, layout, shape, own, same``: references with the blocks that are constant, as (node or list, text
+    hash). A page counts once for each text in a list; ``first`` marks one of them, so its sum counts pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wrappers = Wrappers()
-        pair = pa.list_(pa.struct([("node", pa.int64()), ("hash", pa.int64())]))
+        found = pa.list_(pa.struct([("node", pa.int64()), ("hash", pa.int64()), ("first", pa.int64())]))
         for batch in batches:
             at, nodes = [], []
-            for layout, shape, hashes, bundle in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                ref, keys = wrappers.place(bundle, layout, *read_shape(shape))
+            for layout, shape, hashes, mixed, bundle in zip(*(batch.column(i).to_pylist() for i in range(2, 7)), strict=True):
+                tree = read_shape(shape)
+                ref, keys = wrappers.place(bundle, layout, *tree)
+                single = [(i, h) for i, h in enumerate(hashes) if h is not None]
+                lists = list_keys(*tree, keys)
+                inside = sorted({(lists[i], h) for i, h in [*single, *((x["node"], x["hash"]) for x in mixed)]})
                 at.append(ref["r"])
-                nodes.append([{"node": -1, "hash": 0}] + [{"node": k, "hash": h} for k, h in zip(keys, hashes, strict=True) if h is not None])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(nodes, pair)], names=["_host", "r", "nodes"])
+                nodes.append([{"node": -1, "hash": 0, "first": 1}] + [{"node": keys[i], "hash": h, "first": 1} for i, h in single] + [
+                    {"node": k, "hash": h, "first": int(not i or inside[i - 1][0] != k)} for i, (k, h) in enumerate(inside)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(nodes, found)], names=["_host", "r", "nodes"])
 
-    seen = pages.dropDuplicates(["_host", "sig"]).join(known, F.col("_host") == F.col("_bhost")).select("_host", "sig", "layout", "shape", "hashes", "_bundle")
-    rows = seen.mapInArrow(run, "_host string, r int, nodes array<struct<node:long,hash:long>>").select("_host", "r", F.explode("nodes").alias("x"))
-    counts = rows.groupBy("_host", "r", "x.node", "x.hash").agg(F.count(F.lit(1)).alias("n"))
-    nodes = counts.groupBy("_host", "r", "node").agg(F.sum("n").alias("all"), F.max(F.struct("n", "hash")).alias("top"))
-    constant = (F.col("node") != -1) & (F.col("top.n") >= SAME_PAGES) & (F.col("top.n") >= SAME_SHARE * F.col("all"))
-    found = nodes.groupBy("_host", "r").agg(
-        F.max(F.when(F.col("node") == -1, F.col("all"))).alias("pages"),
-        F.collect_list(F.when(constant, F.struct("node", F.col("top.hash").alias("hash"), F.col("all").alias("all")))).alias("same"))
-    found = found.select("_host", "r", F.transform(F.filter("same", lambda x: x["all"] >= LAYOUT_SHARE * F.col("pages")), lambda x: F.struct(x["node"], x["hash"])).alias("same"))
-    return refs.join(found, ["_host", "r"], "left")
+    seen = with_bundle(pages.dropDuplicates(["_host", "sig"]), known, rest, "inner", "_host", "layout")
+    seen = seen.select("_host", "sig", "layout", "shape", "hashes", "mixed", "_bundle")
+    rows = seen.mapInArrow(run, "_host string, r int, nodes array<struct<node:long,hash:long,first:long>>").select("_host", "r", F.explode("nodes").alias("x"))
+    counts = stages.put(rows.groupBy("_host", "r", "x.node", "x.hash").agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("first")))
+    every = counts.groupBy("_host", "r", "node").agg(F.sum("first").alias("all"))
+    of_layout = every.where("node = -1").select("_host", "r", F.col("all").alias("pages"))
+    often = counts.where((F.col("node") != -1) & (F.col("n") >= SAME_PAGES)).join(every, ["_host", "r", "node"]).join(of_layout, ["_host", "r"])
+    often = often.where((F.col("n") >= SAME_SHARE * F.col("all")) & (F.col("all") >= LAYOUT_SHARE * F.col("pages")))
+    return refs.join(often.groupBy("_host", "r").agg(F.collect_list(F.struct("node", "hash")).alias("same")), ["_host", "r"], "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -612,9 +645,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     stages = Stages(pages.sparkSession)
     host, _ = split_url(F.col(url))
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url).alias("_url"), host.alias("_host"), F.coalesce(F.col(html), F.lit("")).alias("_html"))
+    rows = rows.withColumn("_page", F.md5("_html"))
     seen = stages.put(outlines(rows))
     refs = stages.put(references(seen))
-    found = stages.put(templates(seen, refs, bundled(refs, stages)))
+    rest = refs.where("own is not null").select("_host", "layout", "own")
+    rest = None if rest.isEmpty() else rest
+    found = stages.put(templates(seen, refs, bundled(refs, stages), rest, stages))
     # hosts without any constant block need no alignment
     some = found.where("size(same) > 0").select("_host").distinct()
     wrappers = bundled(found.join(some, "_host", "left_semi"), stages, "same")
@@ -630,16 +666,19 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 names=[id_col, url, "text", "n_chars"])
 
-    joined = rows.join(wrappers, F.col("_host") == F.col("_bhost"), "left").select("_id", "_url", "_html", "_bundle")
+    # a page's layout is known by its html's digest
+    own = None if rest is None else seen.join(rest, ["_host", "layout"]).select("_host", "_page", "own").dropDuplicates(["_host", "_page"])
+    joined = with_bundle(rows, wrappers, own, "left", "_host", "_page").select("_id", "_url", "_html", "_bundle")
     kind = rows.schema["_id"].dataType.simpleString()
     return joined.mapInArrow(run, f"`{id_col}` {kind}, `{url}` string, text string, n_chars long")
 
 
-def template_nodes(tree: Node, bundle: str, known: Wrappers) -> set[int]:
-    """Folded nodes of a page whose text is the template's."""
+def template_nodes(tree: Node, bundle: str, known: Wrappers) -> set[Node]:
+    """Elements of a page whose own text is the template's."""
     o = Outline(tree)
     if o.blank:
         return set()
     ref, keys = known.place(bundle, o.layout, o.label, o.up)
     same = {(x["node"], x["hash"]) for x in ref.get("same") or ()}
-    return {i for i, (k, h) in enumerate(zip(keys, o.hashes, strict=True)) if (k, h) in same}
+    lists = list_keys(o.label, o.up, keys)
+    return {n for n, h in o.blocks.items() if (lists[n.folded], h) in same or o.hashes[n.folded] == h and (keys[n.folded], h) in same}
